@@ -84,8 +84,7 @@ def add_spans(df: DataFrame, text: str, out: str, regex: str, keep=None) -> Data
     """
     m, p = f"__{out}_m", f"__{out}_p"
     df = df.withColumn(m, F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
-    some = F.size(m) > 0
-    df = df.withColumn(p, F.when(some, F.transform(F.split(F.col(text), regex), F.length)))
+    df = df.withColumn(p, F.when(F.size(m) > 0, F.transform(F.split(F.col(text), regex), F.length)))
 
     def place(x: Column, i: Column) -> Column:
         before = F.aggregate(F.slice(F.col(p), F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + F.aggregate(F.slice(F.col(m), F.lit(1), i), F.lit(0), lambda a, b: a + F.length(b))
@@ -93,13 +92,19 @@ def add_spans(df: DataFrame, text: str, out: str, regex: str, keep=None) -> Data
 
     spans = F.transform(F.col(m), place)
     none = F.array().cast("array<struct<m:string,s:int,e:int>>")
-    df = df.withColumn(out, F.when(some, spans).otherwise(none)).drop(m, p)
+    # Two uses of the pieces keep the optimizer from computing them again for each match.
+    df = df.withColumn(out, F.when(F.size(p) > 0, spans).otherwise(none)).drop(m, p)
     return df.withColumn(out, F.filter(F.col(out), keep)) if keep is not None else df
 
 
-def tagged(spans: str, kind: str, rank: int) -> Column:
-    """Spans as ``struct<s, r, k, e>``: sorting them gives start, then kind in listed order."""
-    return F.transform(F.col(spans), lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("r"), F.lit(kind).alias("k"), x["e"].alias("e")))
+def tagged(spans: str, kind: str, rank: int, kind_first: bool = False) -> Column:
+    """Spans as structs that sort by start, then kind in listed order; ``kind_first`` sorts by kind, then start."""
+
+    def one(x: Column) -> Column:
+        parts = [x["s"].alias("s"), F.lit(rank).alias("r")]
+        return F.struct(*(reversed(parts) if kind_first else parts), F.lit(kind).alias("k"), x["e"].alias("e"))
+
+    return F.transform(F.col(spans), one)
 
 
 def span_text(spans: Column) -> Column:

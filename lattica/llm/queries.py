@@ -15,7 +15,35 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import fingerprint_with_edits
+
+    return fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii, pii_digest
+
+    return pii_digest(find_pii(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_imatch": op2_imatch,
+    "op4_url_filter": op4_url_filter,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}
