@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 
@@ -21,6 +22,13 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("all_lines").cast("long"), F.col("removed_lines").cast("long"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -41,6 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_imatch": op2_imatch,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
     "op7_pii": op7_pii,
