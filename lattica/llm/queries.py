@@ -41,18 +41,32 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(read_table(spark, sf_dir, "documents")))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, tokenize_pieces
+
+    return pack(tokenize_pieces(read_table(spark, sf_dir, "documents")))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii, pii_digest
 
     return pii_digest(find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, mix_digest
+
+    return mix_digest(mix(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_imatch": op2_imatch,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_secret_scan": op5_secret_scan,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {}
