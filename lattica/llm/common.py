@@ -109,3 +109,8 @@ def tagged(spans: str, kind: str, rank: int, kind_first: bool = False) -> Column
 
 def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the Arrow batches of texts that Python workers hold at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

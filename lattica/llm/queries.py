@@ -16,6 +16,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents")).drop("lang")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .imatch import fingerprint_with_edits
 
@@ -65,7 +71,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_imatch": op2_imatch,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
@@ -75,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
