@@ -43,7 +43,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("lines", lines).withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
     count = F.col("n_words").cast("int") - (WINDOW - 1)
     windows = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.xxhash64(F.slice(F.col("h"), i, F.lit(WINDOW))).alias("h"), i.alias("i")))
-    df = df.withColumn("win", F.when(count > 1, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("h")
+    # Using ``h`` twice keeps the optimizer from computing it again for each window.
+    df = df.withColumn("win", F.when(F.size("h") > WINDOW, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("h")
     same = lambda x, k, d: F.coalesce(F.get(F.col("win"), k + d)["h"] == x["h"], F.lit(False))
     again = F.filter("win", lambda x, k: ((k > 0) & same(x, k, F.lit(-1))) | same(x, k, F.lit(1)))
     df = df.withColumn("at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("win")
@@ -73,29 +74,45 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "chars", "common")
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda x, y: x + y)
+
+
+def with_shares(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Histograms as shares of their sums: arrays of double, null where the sum is 0."""
+    df = df.withColumns({f"__{c}": _total(F.col(c)) for c in columns})
+    # Using a sum twice keeps the optimizer from computing it again for each element.
+    share = lambda c: F.when(F.col(f"__{c}") > 0, F.transform(c, lambda x: x / F.col(f"__{c}")))
+    shares = {out: share(c) for c, out in columns.items()}
+    return df.withColumns(shares).drop(*(f"__{c}" for c in columns))
+
+
 def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The references of each key: shares of the histograms' sums."""
     n = {"chars": len(CHAR_CLASSES) + 3, "common": len(_listed()) + 1}
     parts = [F.sum(F.col(k)[i]).alias(f"{k}_{i}") for k, size in n.items() for i in range(size)]
-    out = df.where(~F.col("base_failed")).groupBy(*keys).agg(*parts)
-    return out.select(*keys, *[F.array(*(F.col(f"{k}_{i}") for i in range(size))).alias(f"ref_{k}") for k, size in n.items()])
+    out = df.where(~F.col("base_failed")).groupBy(*keys).agg(F.count("*").alias("texts"), *parts)
+    out = out.select(*keys, "texts", *[F.array(*(F.col(f"{k}_{i}") for i in range(size))).alias(k) for k, size in n.items()])
+    return with_shares(out, {"chars": "ref_chars", "common": "ref_common"}).select(*keys, "texts", "ref_chars", "ref_common")
+
 
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two histograms of shares; null where either is null."""
+    term = lambda a, b: F.when(a > 0, 0.5 * a * F.log2(2 * a / (a + b))).otherwise(0.0)
+    return F.sqrt(F.greatest(F.lit(0.0), _total(F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a)))))
 
-def distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of equal size; null where either is null or sums to 0."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    share = lambda a: F.transform(a, lambda x: x / F.nullif(total(a), F.lit(0.0)))
-    term = lambda p, q: F.when(p > 0, 0.5 * p * F.log2(2 * p / (p + q))).otherwise(0.0)
-    both = F.zip_with(share(counts), share(reference), lambda p, q: term(p, q) + term(q, p))
-    return F.sqrt(F.greatest(F.lit(0.0), total(both)))
 
+def _against(stats: DataFrame, sample: DataFrame, least_share: float = 0.001) -> DataFrame:
+    """Distances of ``stats`` from references summed over ``sample``.
 
-def _against(stats: DataFrame, sample: DataFrame) -> DataFrame:
-    """Distances of ``stats`` from references summed over ``sample``."""
-    by_lang = _sums(sample.where(F.col("lang").isNotNull()), ["lang"]).withColumnsRenamed({"lang": "ref_lang", "ref_chars": "l_chars", "ref_common": "l_common"})
+    A language has a reference of its own from ``least_share`` of the sample's texts on: so there are at most 1 / least_share,
+    which is why they may be broadcast, and no join meets all texts of a language in one task.
+    """
     overall = _sums(sample, [])
-    # One row for each language and one row overall: what is broadcast here does not grow with the texts.
-    df = stats.join(by_lang, F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(overall))
-    far = lambda k: distance(F.col(k).cast("array<double>"), F.coalesce(f"l_{k}", f"ref_{k}").cast("array<double>"))
+    by_lang = _sums(sample.where(F.col("lang").isNotNull()), ["lang"]).join(F.broadcast(overall.select(F.col("texts").alias("all_texts"))))
+    by_lang = by_lang.where(F.col("texts") >= least_share * F.col("all_texts")).select(F.col("lang").alias("ref_lang"), F.col("ref_chars").alias("l_chars"), F.col("ref_common").alias("l_common"))
+    df = stats.join(F.broadcast(by_lang), F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(overall.drop("texts")))
+    far = lambda k: distance(F.col(f"p_{k}"), F.coalesce(f"l_{k}", f"ref_{k}"))
     return df.withColumn("char_distance", far("chars")).withColumn("word_distance", far("common")).select(*stats.columns, "char_distance", "word_distance")
 
 
@@ -107,7 +124,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_chars: float = 0.2,
     limit on common words: a short text's histogram strays by chance.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    stats = scratch.save(base_counts(docs), "stats")
+    stats = scratch.save(with_shares(base_counts(docs), {"chars": "p_chars", "common": "p_common"}), "stats")
     fits = (F.coalesce("char_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= max_words + slack / F.sqrt(F.greatest(F.lit(1.0), F.col("n_words").cast("double"))))
     first = _against(stats, stats)
     df = _against(stats, first.where(fits).select(*stats.columns))
