@@ -1,3 +1,3 @@
 """Importing this package registers the catalog queries."""
 
-from . import explore, insights, rarity, similarity, trends  # noqa: F401
+from . import explore, insights, rarity, search, similarity, temporal, trends  # noqa: F401

@@ -126,7 +126,7 @@ VIEWS = {
 
 def sql(text: str) -> str:
     """DuckDB SQL over the views above."""
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items()) + (",\n" + text.strip()[5:] if text.strip().upper().startswith("WITH ") else "\n" + text.strip())
+    return "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items()) + (",\n" + text.strip()[5:] if text.strip().upper().startswith("WITH ") else "\n" + text.strip())
 
 
 Query = Callable[[SparkSession, str], DataFrame]
