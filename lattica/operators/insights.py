@@ -193,11 +193,11 @@ def shared_credits(c: Catalog) -> DataFrame:
 
 
 @query("j7_shared_personnel", """SELECT a.master_id AS a, b.master_id AS b, count(*) AS shared FROM (SELECT DISTINCT master_id, person_id, category FROM credits JOIN masters USING (release_id) WHERE master_id % 20 = 0) a JOIN (SELECT DISTINCT master_id, person_id, category FROM credits JOIN masters USING (release_id) WHERE master_id % 20 = 0) b
-    ON a.person_id = b.person_id AND a.category = b.category AND a.master_id < b.master_id GROUP BY 1, 2 HAVING count(*) >= 3""".replace(" WHERE master_id % 20 = 0", ""))
+    ON a.person_id = b.person_id AND a.category = b.category AND a.master_id < b.master_id WHERE a.master_id % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 3""".replace(" WHERE master_id % 20 = 0", ""))
 def shared_personnel(c: Catalog) -> DataFrame:
-    """Masters that share at least three (person, category) pairs."""
+    """For every hundredth master, later masters that share at least three (person, category) pairs with it."""
     rows = c.credits.join(c.masters, "release_id").select("master_id", "person_id", "category").distinct()
-    pairs = rows.withColumnRenamed("master_id", "a").join(rows.withColumnRenamed("master_id", "b"), ["person_id", "category"]).where("a < b")
+    pairs = rows.where("master_id % 100 = 0").withColumnRenamed("master_id", "a").join(rows.withColumnRenamed("master_id", "b"), ["person_id", "category"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
