@@ -1,4 +1,4 @@
 """Importing this package registers the catalog queries."""
 
-from . import explore, fit, insights, rarity, search, similarity, temporal, trends  # noqa: F401
+from . import explore, fit, insights, lookup, rarity, search, similarity, temporal, trends  # noqa: F401
 from .. import sources, streaming  # noqa: F401
