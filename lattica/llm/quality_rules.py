@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, WS_CLASS, Scratch, text_of, words_of
+from .common import WS_CHARS, Scratch, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -39,6 +39,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, lang and the base counts, with the histograms ``chars`` and ``common``."""
     df = docs.select("doc_id", F.col("lang").alias("lang"), text_of("text").alias("t"))
     df = df.withColumn("w", words_of(F.col("t"))).withColumn("n_words", F.size("w").cast("long"))
+    # Only words short enough to be listed are held against the list.
+    longest = max(map(len, _listed()))
+    short = F.filter("w", lambda x: F.length(x) <= longest)
+    df = df.withColumn("marked", F.concat(F.lit("  "), F.lower(F.array_join(short, "  ")), F.lit("  ")))
     lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("lines", lines).withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
     count = F.col("n_words").cast("int") - (WINDOW - 1)
@@ -50,7 +54,6 @@ def base_counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("win")
     covered = F.transform("at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), k + 1) - x, F.lit(WINDOW))))
     length = F.length("t")
-    marked = F.concat(F.lit("  "), F.regexp_replace(F.lower("t"), WS_CLASS + "+", "  "), F.lit("  "))
     df = df.select(
         "doc_id", "lang", "n_words",
         F.length(F.translate("t", WS_CHARS, "")).cast("long").alias("word_chars"),
@@ -59,9 +62,9 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.aggregate(covered, F.lit(0), lambda a, b: a + b).cast("long").alias("n_repeat_words"),
         length.cast("long").alias("len"),
         *[(length - F.length(F.regexp_replace("t", r, ""))).cast("long").alias(f"c_{k}") for k, r in CHAR_CLASSES.items()],
-        marked.alias("t"),
+        "marked",
     )
-    counts = [((F.octet_length("t") - F.octet_length(F.replace(F.col("t"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in _listed()]
+    counts = [((F.octet_length("marked") - F.octet_length(F.replace(F.col("marked"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in _listed()]
     space = F.col("len") - F.col("word_chars")
     classes = [*(F.col(f"c_{k}") for k in CHAR_CLASSES), space, F.col("n_symbols")]
     rest = F.greatest(F.lit(0), F.col("len") - reduce(lambda a, b: a + b, classes[:-1]))
