@@ -11,9 +11,13 @@ a null ``doc_id`` is carried through; extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,26 +38,74 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokens:
-    """Token ids of a text, from a tokenizer that drops white space, so that words can be encoded one by one and kept."""
+#: A comma or full stop that ends a word after a letter is a token run of its own.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
+
+
+#: Marks that may end a word: they are a run of their own after letters. Not ' (contractions) and not < (special tokens).
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<")
+#: Lower-case Latin-1 letters. The tokenizer takes such a run as it is, so it can go to the model directly, which costs a third.
+_LATIN = re.compile(r"[a-zß-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual letters for bytes: printable ones stand for themselves, the others follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = str.maketrans(_byte_letters())
+
+
+class WordTokens(dict):
+    """Ids by word, for a tokenizer that lower-cases, drops white space and never joins tokens across it or from a letter
+    to a mark; so words can be encoded one by one, without their case and their final stop, and kept.
+
+    Two generations of at most ``most`` words are kept: what was used since the last turn survives it.
+    """
 
     def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.kept = Tokenizer.from_file(path), most, {}
+        super().__init__()
+        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        if len(self) >= self.most:
+            self.old = self.copy()
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core and len(core) < len(word) and (core.isalpha() or _LATIN.fullmatch(core.decode())):
+            return self[core] + self[word[len(core) :]]
+        if not core or (core.isalpha() and core.islower()):
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+        elif _LATIN.fullmatch(text := word.decode()):
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_LETTERS))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.encode().split()
-        kept = self.kept
-        fresh = [w for w in dict.fromkeys(words) if w not in kept]
-        if fresh:
-            if len(kept) + len(fresh) > self.most:
-                kept.clear()
-                fresh = list(dict.fromkeys(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-                kept[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join([kept[w] for w in words])
+        raw = text.encode()
+        # Special tokens are written with "<"; they count in their own case only.
+        words = raw.split() if b"<" in raw else _STOP.sub(rb" \1", raw.lower()).split()
+        return b"".join(map(self.__getitem__, words))
+
+
+@cache
+def kept_tokens(path: str) -> WordTokens:
+    """One for each worker process: the next tasks of a reused worker go on with its words."""
+    return WordTokens(path)
 
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -65,7 +117,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     width, end = 4 * capacity, np.asarray([end_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
+        words = kept_tokens(path)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
