@@ -89,21 +89,8 @@ def next_ids(ids: DataFrame, per_range: int = 50_000, most_ranges: int = 256) ->
     return inside.join(F.broadcast(firsts), "range").select("doc_id", F.coalesce("lead", "after").alias("next_id"))
 
 
-def fingerprint_with_edits(docs: DataFrame, low: float = 0.0005, high: float = 0.1) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
-
-    The edited text's last quarter (rounded down) is replaced by as many first characters of the next document.
-    """
-    scratch = Scratch(docs.sparkSession, "imatch")
-    lex = scratch.save(lexicon(docs, low, high), "lexicon")
-    rows = docs.select("doc_id", text_of("text").alias("text"))
-    known = rows.where("doc_id is not null")
-    sizes = scratch.save(known.groupBy("doc_id").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("cut")), "sizes")
-    following = scratch.save(next_ids(sizes.select("doc_id")), "next")
-    asks = following.join(sizes, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id"), "cut")
-    heads = known.join(asks, F.col("doc_id") == F.col("next_id")).select("for_id", F.substring("text", F.lit(1), F.col("cut")).alias("head"))
-    heads = heads.groupBy("for_id").agg(F.min("head").alias("head"))
-    both = rows.join(heads, F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "text", text_of("head").alias("head"))
+def _prints(both: DataFrame, lex: DataFrame) -> DataFrame:
+    """Fingerprints of rows with doc_id, text and head, which lends its first characters to the edited text."""
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("head", F.lit(1), cut))
     both = both.select("doc_id", F.xxhash64("text").alias("row"), F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
@@ -119,7 +106,27 @@ def fingerprint_with_edits(docs: DataFrame, low: float = 0.0005, high: float = 0
         F.count("sha").alias("copies"),
     )
     printed = add_fingerprint(add_fingerprint(grouped, "own", "fingerprint"), "new", "edited_fingerprint")
-    prints = scratch.save(printed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "copies"), "prints")
+    return printed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "copies")
+
+
+def fingerprint_with_edits(docs: DataFrame, low: float = 0.0005, high: float = 0.1) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
+
+    The edited text's last quarter (rounded down) is replaced by as many first characters of the next document.
+    """
+    scratch = Scratch(docs.sparkSession, "imatch")
+    lex = scratch.save(lexicon(docs, low, high), "lexicon")
+    rows = docs.select("doc_id", text_of("text").alias("text"))
+    known = rows.where("doc_id is not null")
+    sizes = scratch.save(known.groupBy("doc_id").agg(F.floor(F.max(F.length("text")) / 4).cast("int").alias("cut")), "sizes")
+    following = scratch.save(next_ids(sizes.select("doc_id")), "next")
+    asks = following.join(sizes, "doc_id").select(F.col("doc_id").alias("for_id"), F.col("next_id"), "cut")
+    heads = known.join(asks, F.col("doc_id") == F.col("next_id")).select("for_id", F.substring("text", F.lit(1), F.col("cut")).alias("head"))
+    heads = heads.groupBy("for_id").agg(F.min("head").alias("head"))
+    # Both joins read ``known`` by doc_id, so its texts are shuffled once.
+    both = known.join(heads, F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "text", text_of("head").alias("head"))
+    alone = rows.where("doc_id is null").withColumn("head", F.lit(""))
+    prints = scratch.save(_prints(both, lex).unionByName(_prints(alone, lex)), "prints")
     firsts = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fingerprint").alias("next_print")).withColumnRenamed("doc_id", "next_id")
     nearby = following.join(firsts, "next_id").select(F.col("doc_id").alias("for_id"), "next_print")
     out = prints.join(nearby, F.col("doc_id") == F.col("for_id"), "left")
