@@ -1,12 +1,14 @@
-"""Removal of repeated passages by content-defined line chunks (DataFrame functions only).
+"""Removal of repeated passages by runs of lines (DataFrame functions only).
 
-A rolling hash over the last two line hashes decides whether a chunk ends after a line, so the same lines are cut alike
-wherever they stand. A chunk of two or more lines, or of one line of ``long_line`` or more words, that occurs again anywhere is
-removed but for its first occurrence (least doc_id, then place), after its bytes are compared with that occurrence's.
+A run of two or more lines, or of one line of ``long_line`` or more words, that occurs again anywhere is removed but for its first
+occurrence (least doc_id, then place). Every run of two or more lines is the union of its pairs of neighbours, so pairs and long
+single lines are all that is looked up: each occurrence but the first goes, after its bytes are compared with the first's. What goes
+so does not depend on where a passage stands or what surrounds it.
 
-Defined results: a null text stays null and an empty text stays empty; a null ``doc_id`` sorts before the others; repeated rows
-(same id and text) are one document and are changed alike; two occurrences in one document count as a repeat; other
-columns, whatever their names, pass through ``dedup_lines`` unchanged.
+Defined results: a line without words is no part of a pair (its neighbours are); it goes where it lies inside a removed pair or, at a
+text's edge, beside a removed run; an occurrence that overlaps the first one in its own document stays; a null text stays null and an empty text
+stays empty; a null ``doc_id`` sorts before the others; repeated rows (same id and text) are one document and are changed alike; two
+occurrences in one document count as a repeat; other columns, whatever their names, pass through ``dedup_lines`` unchanged.
 """
 
 from __future__ import annotations
@@ -14,51 +16,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CLASS, Scratch, text_of
+from .common import Scratch, text_of, words_of
 
-ONE_IN = 2
+#: A character of a word.
+WORDED = r"[^\x20\x09-\x0D]"
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, key and ``chunks``: array of struct<k, a, b, hash>, lines a..b counted from 1, of the chunks that may be removed."""
-    df = docs.select("doc_id", text_of("text").alias("text")).where("text != ''").withColumn("key", F.xxhash64("doc_id", "text"))
-    df = df.withColumn("lines", F.split("text", "\n"))
-    df = df.withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
-    df = df.select("doc_id", "key", "lines", "h", _ends("h").alias("ends"))
-    return df
+def _lines(text: Column) -> Column:
+    """Array of struct<i, x>: the lines with words, numbered from 1 among all lines."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("i"), x.alias("x")))
+    return F.filter(numbered, lambda s: s["x"].rlike(WORDED))
 
 
-def _ends(h: str) -> Column:
-    cut = lambda i: F.pmod(F.xxhash64(F.slice(F.col(h), i - 1, F.lit(2))), F.lit(ONE_IN)) == 0
-    numbers = F.sequence(F.lit(1), F.size(h))
-    return F.filter(numbers, lambda i: (i == F.size(h)) | ((i >= 2) & cut(F.greatest(i, F.lit(2)))))
+def _runs(long_line: int) -> Column:
+    """Array of struct<k, n, hash>: the pairs (n = 2) and long lines (n = 1) that start at the k-th of ``lines``."""
+    h = F.col("h")
+    run = lambda k, n: F.struct((k + 1).alias("k"), F.lit(n).alias("n"), F.xxhash64(F.slice(h, k + 1, n)).alias("hash"))
+    pairs = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), lambda _, k: run(k, 2))
+    long = F.transform(F.col("lines"), lambda s, k: F.when(F.size(words_of(s["x"])) >= long_line, run(k, 1)))
+    return F.concat(pairs, F.filter(long, lambda r: r.isNotNull()))
 
 
-def _spans() -> Column:
-    """Chunk k's first and last line from the ends."""
-    start = lambda k: F.coalesce(F.get(F.col("ends"), k - 1), F.lit(0)) + 1
-    return F.transform("ends", lambda e, k: F.struct(k.alias("k"), start(k).alias("a"), e.alias("b")))
+def _read(r: Column) -> Column:
+    """A run's hash, bytes and range of lines a..b, at a text's edge with the lines without words there."""
+    end = r["k"] + r["n"] - 1
+    a = F.when(r["k"] == 1, 1).otherwise(F.element_at("lines", r["k"])["i"])
+    b = F.when(end == F.size("lines"), F.col("all")).otherwise(F.element_at("lines", end)["i"])
+    text = F.array_join(F.transform(F.slice("lines", r["k"], r["n"]), lambda s: s["x"]), "\n")
+    return F.struct(a.alias("a"), b.alias("b"), r["hash"].alias("hash"), r["is_first"].alias("is_first"), text.alias("bytes"))
 
 
-def _text(x: Column) -> Column:
-    return F.array_join(F.slice(F.col("lines"), x["a"], x["b"] - x["a"] + 1), "\n")
-
-
-def repeated_chunks(docs: DataFrame, scratch: Scratch, long_line: int = 50) -> DataFrame:
-    """(key, a, b): line ranges to remove."""
-    df = _chunked(docs).withColumn("spans", _spans())
-    long = lambda x: F.size(F.split(F.element_at("lines", x["a"]), WS_CLASS + "+")) >= long_line
-    eligible = F.filter("spans", lambda x: (x["b"] > x["a"]) | long(x))
-    hashed = F.transform(eligible, lambda x: F.struct(x["k"].alias("k"), x["a"].alias("a"), x["b"].alias("b"), F.xxhash64(F.slice(F.col("h"), x["a"], x["b"] - x["a"] + 1)).alias("hash")))
-    chunks = scratch.save(df.select("doc_id", "key", F.explode(hashed).alias("x")).select("doc_id", "key", "x.*").distinct(), "chunks")
+def repeated_runs(docs: DataFrame, scratch: Scratch, long_line: int = 50) -> DataFrame:
+    """(key, a, b): line ranges to remove; ranges may overlap."""
+    df = docs.select("doc_id", text_of("text").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    df = df.select("doc_id", "key", _lines(F.col("text")).alias("lines")).withColumn("h", F.transform("lines", lambda s: F.xxhash64(s["x"])))
+    runs = scratch.save(df.select("doc_id", "key", F.explode(_runs(long_line)).alias("r")).select("doc_id", "key", "r.*"), "runs")
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "key", "k")
-    again = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.col("hash").alias("of"), "first")
-    marked = chunks.join(again, F.col("hash") == F.col("of")).select("key", "k", "a", "b", "hash", (place == F.col("first")).alias("is_first"))
+    # Repeated rows have equal places, so two places are two occurrences.
+    again = runs.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("hash").alias("of"), "first")
+    is_first = place == F.col("first")
+    apart = (F.col("key") != F.col("first.key")) | (F.col("k") >= F.col("first.k") + F.col("n"))
+    marked = runs.join(again, F.col("hash") == F.col("of")).where(is_first | apart).select("key", "k", "n", "hash", is_first.alias("is_first")).distinct()
     marked = scratch.save(marked, "marked")
-    # Only texts with a repeated chunk are read again, for the comparison of bytes.
-    asked = marked.groupBy("key").agg(F.collect_list(F.struct("k", "a", "b", "hash", "is_first")).alias("asked")).withColumnRenamed("key", "asked_key")
-    lines = docs.select(F.xxhash64("doc_id", text_of("text")).alias("key"), F.split(text_of("text"), "\n").alias("lines")).where("lines is not null")
-    texts = lines.join(asked, F.col("key") == F.col("asked_key")).select("key", F.explode(F.transform("asked", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["hash"].alias("hash"), x["is_first"].alias("is_first"), _text(x).alias("bytes")))).alias("x")).select("key", "x.*")
+    # Only texts with a repeated run are read again, for the comparison of bytes.
+    asked = marked.groupBy("key").agg(F.collect_list(F.struct("k", "n", "hash", "is_first")).alias("asked")).withColumnRenamed("key", "asked_key")
+    texts = docs.select(F.xxhash64("doc_id", text_of("text")).alias("key"), text_of("text").alias("text")).join(asked, F.col("key") == F.col("asked_key"))
+    texts = texts.select("key", "asked", F.size(F.split("text", "\n")).alias("all"), _lines(F.col("text")).alias("lines"))
+    texts = texts.select("key", F.explode(F.transform("asked", _read)).alias("r")).select("key", "r.*")
     texts = scratch.save(texts, "texts")
     firsts = texts.where("is_first").select(F.col("hash").alias("of"), F.col("bytes").alias("first_bytes")).dropDuplicates(["of"])
     same = texts.where("not is_first").join(firsts, F.col("hash") == F.col("of")).where(F.col("bytes") == F.col("first_bytes"))
@@ -66,14 +70,15 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch, long_line: int = 50) -> D
 
 
 def dedup_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
-    """``docs`` with ``text`` without repeated chunks, and ``removed_lines`` (int), ``all_lines`` (int) beside."""
+    """``docs`` with ``text`` without repeated runs, and ``removed_lines`` (int), ``all_lines`` (int) beside."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    gone = repeated_chunks(docs, scratch, long_line).groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("__gone")).withColumnRenamed("key", "__gone_key")
+    gone = repeated_runs(docs, scratch, long_line).groupBy("key").agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("__gone")).withColumnRenamed("key", "__gone_key")
     df = docs.withColumn("__key", F.xxhash64("doc_id", text_of("text")))
     df = df.join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__gone_key"), "left")
     lines = F.split(F.col("text"), "\n")
-    inside = lambda i: F.exists(F.col("__gone"), lambda r: (i + 1 >= r["a"]) & (i + 1 <= r["b"]))
-    kept = F.filter(lines, lambda _, i: ~inside(i))
-    removed = F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0))
-    df = df.withColumn("removed_lines", removed).withColumn("all_lines", F.when(F.col("text") == "", 0).otherwise(F.coalesce(F.size(lines), F.lit(0))))
-    return df.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))).drop("__key", "__gone", "__gone_key")
+    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("__gone"))
+    text = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__lines"), i)), "\n")
+    found = F.col("__gone").isNotNull()
+    df = df.withColumn("__lines", F.when(found, lines)).withColumn("removed_lines", F.when(found, F.size(F.array_distinct("__gone"))).otherwise(0))
+    df = df.withColumn("all_lines", F.when(F.col("text") == "", 0).otherwise(F.coalesce(F.size(lines), F.lit(0))))
+    return df.withColumn("text", F.when(found, text).otherwise(F.col("text"))).drop("__key", "__gone", "__gone_key", "__lines")

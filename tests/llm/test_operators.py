@@ -181,6 +181,57 @@ def test_line_dedup(docs):
     assert sum(r["removed_lines"] > 0 for r in got) >= 4
 
 
+def without_repeats(rows, long_line=50):
+    """{(doc_id, text): text} without runs of two or more lines, or one long line, that occurred before; plain version."""
+    seen, out = {}, {}
+    for key in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = key[1].split("\n")
+        at = [i for i, x in enumerate(lines) if words(x)]
+        gone = set()
+        for k in range(len(at)):
+            for n in (1, 2):
+                run = tuple(lines[i] for i in at[k : k + n])
+                if len(run) < n or n == 1 and len(words(run[0])) < long_line:
+                    continue
+                first = seen.setdefault(run, (key, k))
+                if first[0] != key or k >= first[1] + n:
+                    last = len(lines) - 1 if k + n == len(at) else at[k + n - 1]
+                    gone |= set(range(at[k] if k else 0, last + 1))
+        out[key] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_line_dedup_passages_between_unlike_lines(spark):
+    from lattica.llm.line_dedup import dedup_lines
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(1, 13):
+        passage = "\n".join(prose(rng, 60 // n + 1) for _ in range(n))
+        for _ in range(6):
+            rows.append((len(rows), prose(rng, 9) + "\n" + passage + "\n" + prose(rng, 9)))
+    whole = len(rows)
+    rows += [(whole, rows[0][1]), (whole + 1, "x y\n" * 7), (whole + 2, "\n \n" + rows[70][1].replace("\n", "\n\n") + "\n\n"), (whole + 3, "alone\n\n\n"), (whole + 4, "alone\n\n\n")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), "k", "r") for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r for r in collected(dedup_lines(df))}
+    want = {k[0]: v for k, v in without_repeats(rows).items()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    for i, t in rows[:whole]:
+        lines = t.split("\n")
+        assert got[i]["text"] == (t if i % 6 == 0 else lines[0] + "\n" + lines[-1])
+        assert got[i]["removed_lines"] == (0 if i % 6 == 0 else len(lines) - 2)
+    assert [got[whole + i]["text"] for i in (0, 2, 3, 4)] == ["", "", "alone\n\n\n", "alone\n\n\n"]
+
+
+def test_line_dedup_agrees_with_the_plain_version(docs):
+    from lattica.llm.line_dedup import dedup_lines
+
+    want = without_repeats([(r[0], r[1]) for r in sample()])
+    old = {r[0]: r[1] for r in sample()}
+    for r in collected(dedup_lines(docs)):
+        assert (r["text"] or "") == want[(r["doc_id"], old[r["doc_id"]] or "")]
+
+
 # urls
 
 
