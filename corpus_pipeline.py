@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents; the
 last returns the packing. Stage by stage: the classifier's rejects go; repeated passages are cut out of texts (a text that
-consists of repeated passages alone goes); of each group of near-duplicates the document with the least id stays; the mix takes documents zero,
+consists of repeated passages alone goes, so an exact copy goes here or is left whole for the next stage); of each group of near-duplicates the document with the least id stays; the mix takes documents zero,
 one or two times; what is left is tokenized and packed. SQL can't express the stages, so there is no oracle; tests compare them
 with plain versions.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.classifier import keep_good
 from lattica.llm.common import Scratch, read_table
-from lattica.llm.line_dedup import dedup_lines
+from lattica.llm.line_dedup import WORDED, dedup_lines
 from lattica.llm.minhash import near_duplicates
 from lattica.llm.mixing import take
 from lattica.llm.packing import pack, tokenize_pieces
@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(docs)
     changed = F.col("removed_lines") > 0
-    out = out.where(~changed | (F.col("text") != ""))
+    out = out.where(~changed | F.col("text").rlike(WORDED))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

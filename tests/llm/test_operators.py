@@ -485,6 +485,43 @@ def test_pipeline(spark, tmp_path, docs):
     assert rows.count() > 0 and "sequence_id" in rows.columns
 
 
+def test_pipeline_drops_exact_copies(spark, tmp_path):
+    """Exact copies of many-lined, long one-lined and short one-lined texts: each goes whole, and nothing of it is packed."""
+    import corpus_pipeline
+    from lattica.llm.packing import tokenize_pieces
+
+    rng = random.Random(4)
+    texts = ["\n".join(prose(rng, rng.choice([3, 8, 20, 70])) for _ in range(i % 9 + 1)) for i in range(36)]
+    texts += [prose(rng, 7 + i) for i in range(6)] + [prose(rng, 80) for _ in range(4)]
+    rows = list(enumerate(texts)) + [(len(texts) + i, t) for i, t in enumerate(texts[::2])]
+    # Repeated runs of two texts: only the lines without words between them are left, so it goes as well.
+    rows.append((len(rows), "\n".join(texts[8].split("\n")[:2]) + "\n\n\n" + "\n".join(texts[17].split("\n")[:2])))
+    spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(40)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    good = collected(stages["quality_classifier"](spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)))
+    good = [(r["doc_id"], r["text"]) for r in good]
+    first = {}
+    for i, t in sorted(good):
+        first.setdefault(t, i)
+    copies = {i for i, t in good if first[t] != i}
+    assert len(copies) >= 10
+
+    def df(pairs):
+        return spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in pairs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+    whole = dict(good)
+    cut = {i: t for (i, _), t in without_repeats(good).items() if t == whole[i] or words(t)}
+    after = {r["doc_id"]: r["text"] for r in collected(stages["line_dedup"](spark, df(good), str(tmp_path)))}
+    assert after == cut
+    assert all(cut[i] == whole[i] for i in copies & set(cut))
+    kept = {r["doc_id"] for r in collected(stages["minhash_near_dedup"](spark, df(cut.items()), str(tmp_path)))}
+    assert kept == set(cut) - copies
+    pieces = {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in tokenize_pieces(df((i, cut[i]) for i in kept)).collect()}
+    packed = {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert packed and packed <= pieces
+
+
 def test_queries_run_over_the_tables(spark):
     from lattica.llm.queries import QUERIES
 
