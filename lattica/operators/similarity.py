@@ -164,17 +164,11 @@ def embedding_cosines(c: Catalog) -> DataFrame:
     return v.join(lead, "label").select("vec_id", scaled(F.round(cos, 9)).alias("cos_ppm"))
 
 
-@query("m20_similar_labels", """WITH n AS (SELECT label_id, genre, count(*) AS n FROM on_ JOIN genres USING (release_id) GROUP BY 1, 2), big AS (SELECT label_id FROM on_ GROUP BY 1 HAVING count(*) >= 5),
-    st AS (SELECT label_id, style, count(*) AS n FROM on_ JOIN styles USING (release_id) JOIN big USING (label_id) GROUP BY 1, 2), ts AS (SELECT label_id, style FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY n DESC, style) AS rn FROM st) WHERE rn <= 5),
-    cand AS (SELECT a, b FROM (SELECT t.label_id AS a, s.label_id AS b, row_number() OVER (PARTITION BY t.label_id ORDER BY sum(s.n) DESC, s.label_id) AS rn FROM ts t JOIN st s ON t.style = s.style AND t.label_id <> s.label_id WHERE t.label_id % 100 = 0 GROUP BY 1, 2 HAVING sum(s.n) >= 5) WHERE rn <= 100),
-    nr AS (SELECT label_id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM n GROUP BY 1)
-    SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT a, b, CAST(floor(round(sum(x.n * y.n) / (max(p.norm) * max(q.norm)), 9) * 10000 + 0.5) AS BIGINT) AS score FROM cand JOIN n x ON x.label_id = a JOIN n y ON y.label_id = b AND x.genre = y.genre JOIN nr p ON p.label_id = a JOIN nr q ON q.label_id = b GROUP BY 1, 2)) WHERE rn <= 10""")
-def similar_labels(c: Catalog, least: int = 5, n: int = 10) -> DataFrame:
-    """For every hundredth label, the labels that share most releases of its top styles, by cosine of genre vectors."""
+def similar_labels(c: Catalog, least: int = 5, n: int = 10, asked: str | None = None) -> DataFrame:
+    """For each label, the labels that share most releases of its top styles, by cosine of genre vectors; ``asked`` is a condition on its ``label_id``."""
     big = c.on.groupBy("label_id").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("label_id")
     styles = c.on.join(big, "label_id").join(c.styles, "release_id").groupBy("label_id", "style").agg(F.count("*").alias("n"))
-    asked = styles.where(F.col("label_id") % 100 == 0)
-    top = top_n(asked, ["label_id"], [F.desc("n"), "style"], 5).select(F.col("label_id").alias("a"), "style")
+    top = top_n(styles.where(asked) if asked else styles, ["label_id"], [F.desc("n"), "style"], 5).select(F.col("label_id").alias("a"), "style")
     sums = top.join(styles.withColumnRenamed("label_id", "b"), "style").where("a != b").groupBy("a", "b").agg(F.sum("n").alias("s")).where(F.col("s") >= least)
     pairs = top_n(sums, ["a"], [F.desc("s"), "b"], 100).select("a", "b")
     genres = c.on.join(c.genres, "release_id").groupBy("label_id", "genre").agg(F.count("*").alias("n"))
@@ -182,6 +176,16 @@ def similar_labels(c: Catalog, least: int = 5, n: int = 10) -> DataFrame:
     return top_n(scores, ["a"], [F.desc("score"), "b"], n)
 
 
+@query("m20_similar_labels", """WITH n AS (SELECT label_id, genre, count(*) AS n FROM on_ JOIN genres USING (release_id) GROUP BY 1, 2), big AS (SELECT label_id FROM on_ GROUP BY 1 HAVING count(*) >= 5),
+    st AS (SELECT label_id, style, count(*) AS n FROM on_ JOIN styles USING (release_id) JOIN big USING (label_id) GROUP BY 1, 2), ts AS (SELECT label_id, style FROM (SELECT *, row_number() OVER (PARTITION BY label_id ORDER BY n DESC, style) AS rn FROM st) WHERE rn <= 5),
+    cand AS (SELECT a, b FROM (SELECT t.label_id AS a, s.label_id AS b, row_number() OVER (PARTITION BY t.label_id ORDER BY sum(s.n) DESC, s.label_id) AS rn FROM ts t JOIN st s ON t.style = s.style AND t.label_id <> s.label_id WHERE t.label_id % 100 = 0 GROUP BY 1, 2 HAVING sum(s.n) >= 5) WHERE rn <= 100),
+    nr AS (SELECT label_id, sqrt(sum(CAST(n AS DOUBLE) * n)) AS norm FROM n GROUP BY 1)
+    SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM (SELECT a, b, CAST(floor(round(sum(x.n * y.n) / (max(p.norm) * max(q.norm)), 9) * 10000 + 0.5) AS BIGINT) AS score FROM cand JOIN n x ON x.label_id = a JOIN n y ON y.label_id = b AND x.genre = y.genre JOIN nr p ON p.label_id = a JOIN nr q ON q.label_id = b GROUP BY 1, 2)) WHERE rn <= 10""")
+def asked_similar_labels(c: Catalog) -> DataFrame:
+    """The query set of this SQL: every hundredth label."""
+    return similar_labels(c, asked="label_id % 100 = 0")
+
+
 @query("m22_obscurity", """WITH held AS (SELECT DISTINCT user_id, release_id FROM collected), n AS (SELECT release_id, count(*) - 1 AS others FROM held GROUP BY 1)
     SELECT user_id, CAST(floor(greatest(0, least(1, CASE WHEN max(others) > 0 THEN 1 - median(others) / max(others) ELSE 1 END)) * 10000 + 0.5) AS BIGINT) AS obscurity FROM held JOIN n USING (release_id) GROUP BY 1""")
 def obscurity(c: Catalog) -> DataFrame:

@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import page, scaled, share_below, top_n
+from lattica.operators.insights import shared_personnel
 from lattica.operators.rarity import composed, percentiles
+from lattica.operators.similarity import similar_labels
 from lattica.operators.temporal import merge_items, reattach, shortest_paths, validity
 from lattica.operators.trends import entropy
+from lattica.plans import Catalog
 from lattica.sources import changed_fields, read_copy_text, read_flagged, read_sidecars, upsert
 from lattica.streaming import ingest, source, validated
 
@@ -115,3 +118,27 @@ def test_ingest_is_idempotent_however_late(spark, tmp_path):
     assert rows(spark.read.parquet(target).select("event_id", F.col("month").cast("string"))) == [(1, "2024-01"), (4, "2025-06")]
     assert sorted(r.event_id for r in spark.read.parquet(bad).collect()) == [2, 3]
     assert rows(validated(spark.createDataFrame(first, schema)).select("event_id", "valid")) == [(1, True), (2, False), (3, False)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_shared_personnel_answers_for_all_masters(spark):
+    from collections import Counter, defaultdict
+
+    c = Catalog(spark, SF)
+    by = defaultdict(set)
+    for r in c.credits.join(c.masters, "release_id").select("master_id", "person_id", "category").collect():
+        by[r.person_id, r.category].add(r.master_id)
+    n = Counter((a, b) for group in by.values() for a in group for b in group if a < b)
+    want = sorted(((a, b, k) for (a, b), k in n.items() if k >= 3), key=repr)
+    assert len({a for a, _, _ in want if a % 100}) > 10
+    assert rows(shared_personnel(c)) == want
+    assert rows(shared_personnel(c, block=7)) == want
+
+
+def test_similar_labels_answers_for_all_labels(spark):
+    c = Catalog(spark, SF)
+    got = rows(similar_labels(c))
+    assert len({a for a, _, _ in got}) > 10 and any(a % 100 for a, _, _ in got)
+    assert [r for r in got if r[0] % 100 == 0] == rows(similar_labels(c, asked="label_id % 100 = 0"))
