@@ -199,18 +199,31 @@ def obscurity(c: Catalog) -> DataFrame:
 # network
 
 
+def collaborator_distances(c: Catalog, roots: str | None = None) -> DataFrame:
+    """Collaborators at distance 1 (shared releases) and 2 (distinct bridges) of all artists; ``roots`` is a condition on a."""
+    pairs = c.by.withColumnRenamed("artist_id", "a").join(c.by.withColumnRenamed("artist_id", "b"), "release_id").where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    first = pairs.where(roots) if roots else pairs
+    # Pairs are distinct, so each row of the join is a bridge of its own; bridges are counted before the near ones are taken off.
+    second = first.select("a", F.col("b").alias("bridge")).join(pairs.select(F.col("a").alias("bridge"), "b"), "bridge").where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    second = second.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    one = lambda df, d: df.select("a", "b", F.lit(d).cast("long").alias("distance"), "n")
+    return one(first, 1).unionByName(one(second, 2))
+
+
 @query("p2_collaborator_distances", """WITH d1 AS (SELECT a.artist_id AS a, b.artist_id AS b, count(*) AS n FROM by_ a JOIN by_ b ON a.release_id = b.release_id AND a.artist_id <> b.artist_id WHERE a.artist_id < 5 GROUP BY 1, 2),
     al AS (SELECT a.artist_id AS a, b.artist_id AS b FROM by_ a JOIN by_ b ON a.release_id = b.release_id AND a.artist_id <> b.artist_id GROUP BY 1, 2),
     d2 AS (SELECT d1.a, al.b, count(DISTINCT d1.b) AS n FROM d1 JOIN al ON d1.b = al.a WHERE al.b <> d1.a AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.a = d1.a AND x.b = al.b) GROUP BY 1, 2)
     SELECT a, b, 1 AS distance, n FROM d1 UNION ALL SELECT a, b, 2, n FROM d2""".replace("1 AS distance", "CAST(1 AS BIGINT) AS distance"))
-def collaborator_distances(c: Catalog, roots_below: int = 5) -> DataFrame:
-    """Collaborators at distance 1 (shared releases) and 2 (distinct bridges) of the roots."""
-    pairs = c.by.withColumnRenamed("artist_id", "a").join(c.by.withColumnRenamed("artist_id", "b"), "release_id").where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    first = pairs.where(F.col("a") < roots_below)
-    second = first.select("a", F.col("b").alias("bridge")).join(pairs.select(F.col("a").alias("bridge"), "b"), "bridge").where("a != b").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = second.groupBy("a", "b").agg(F.count_distinct("bridge").alias("n"))
-    one = lambda df, d: df.select("a", "b", F.lit(d).cast("long").alias("distance"), "n")
-    return one(first, 1).unionByName(one(second, 2))
+def asked_collaborator_distances(c: Catalog) -> DataFrame:
+    """The query set of this SQL: the first artists as roots."""
+    return collaborator_distances(c, "a < 5")
+
+
+@query("p2_collaborator_distances_all", """WITH al AS (SELECT a.artist_id AS a, b.artist_id AS b, count(*) AS n FROM by_ a JOIN by_ b ON a.release_id = b.release_id AND a.artist_id <> b.artist_id GROUP BY 1, 2),
+    d2 AS (SELECT x.a, y.b, count(DISTINCT x.b) AS n FROM al x JOIN al y ON x.b = y.a WHERE y.b <> x.a AND NOT EXISTS (SELECT 1 FROM al z WHERE z.a = x.a AND z.b = y.b) GROUP BY 1, 2)
+    SELECT a, b, CAST(1 AS BIGINT) AS distance, n FROM al UNION ALL SELECT a, b, CAST(2 AS BIGINT), n FROM d2""")
+def all_collaborator_distances(c: Catalog) -> DataFrame:
+    return collaborator_distances(c)
 
 
 @query("p3_artist_degrees", """SELECT a.artist_id, coalesce(r.n, 0) AS releases, coalesce(p.n, 0) AS collaborators, coalesce(s.n, 0) AS shared_releases, coalesce(g.n, 0) AS groups FROM artists a LEFT JOIN (SELECT artist_id, count(*) AS n FROM by_ GROUP BY 1) r USING (artist_id)

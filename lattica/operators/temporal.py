@@ -198,12 +198,26 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, depth: int) -> DataFram
     return seen
 
 
+def alias_distances(c: Catalog, sources: str | None = None, depth: int = 6) -> DataFrame:
+    """Artists within ``depth`` (1 to 10) alias hops of all artists; ``sources`` is a condition on the ``artist_id`` of the source."""
+    if not 1 <= depth <= 10:
+        raise ValueError("depth must be from 1 to 10")
+    ensure_checkpoints(c)
+    start = c.artists.where(sources) if sources else c.artists
+    return shortest_paths(c.aliases.select(F.col("artist_id").alias("a"), F.col("other_id").alias("b")), start.select(F.col("artist_id").alias("source")), depth)
+
+
 @query("p1_alias_distances", """WITH RECURSIVE e AS (SELECT artist_id AS a, other_id AS b FROM aliases UNION SELECT other_id, artist_id FROM aliases),
     w AS (SELECT artist_id AS source, artist_id AS node, CAST(0 AS BIGINT) AS distance FROM artists WHERE artist_id % 10 = 0 UNION SELECT source, b, distance + 1 FROM w JOIN e ON node = a WHERE distance < 4) SELECT source, node, min(distance) AS distance FROM w GROUP BY 1, 2""".replace("WITH RECURSIVE e", "WITH e"))
-def alias_distances(c: Catalog, depth: int = 4) -> DataFrame:
-    """Artists within four alias hops of every tenth artist."""
-    ensure_checkpoints(c)
-    return shortest_paths(c.aliases.select(F.col("artist_id").alias("a"), F.col("other_id").alias("b")), c.artists.where("artist_id % 10 = 0").select(F.col("artist_id").alias("source")), depth)
+def asked_alias_distances(c: Catalog) -> DataFrame:
+    """The query set of this SQL: four hops from every tenth artist."""
+    return alias_distances(c, "artist_id % 10 = 0", 4)
+
+
+@query("p1_alias_distances_all", """WITH e AS (SELECT artist_id AS a, other_id AS b FROM aliases UNION SELECT other_id, artist_id FROM aliases),
+    w AS (SELECT artist_id AS source, artist_id AS node, CAST(0 AS BIGINT) AS distance FROM artists UNION SELECT source, b, distance + 1 FROM w JOIN e ON node = a WHERE distance < 6) SELECT source, node, min(distance) AS distance FROM w GROUP BY 1, 2""")
+def all_alias_distances(c: Catalog) -> DataFrame:
+    return alias_distances(c)
 
 
 @query("m12_explore_traversal", """WITH d1 AS (SELECT g.genre, b.artist_id, CAST(1 AS BIGINT) AS distance FROM genres g JOIN by_ b USING (release_id) GROUP BY 1, 2), d2 AS (SELECT d.genre, o.label_id, count(DISTINCT d.artist_id) AS artists FROM d1 d JOIN by_ b ON d.artist_id = b.artist_id JOIN on_ o ON b.release_id = o.release_id GROUP BY 1, 2)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lattica.functions import page, scaled, share_below, top_n
 from lattica.operators.insights import shared_personnel
 from lattica.operators.rarity import composed, percentiles
-from lattica.operators.similarity import similar_labels
-from lattica.operators.temporal import merge_items, reattach, shortest_paths, validity
+from lattica.operators.similarity import collaborator_distances, similar_labels
+from lattica.operators.temporal import alias_distances, merge_items, reattach, shortest_paths, validity
 from lattica.operators.trends import entropy
 from lattica.plans import Catalog
 from lattica.sources import changed_fields, read_copy_text, read_flagged, read_sidecars, upsert
@@ -142,3 +142,22 @@ def test_similar_labels_answers_for_all_labels(spark):
     got = rows(similar_labels(c))
     assert len({a for a, _, _ in got}) > 10 and any(a % 100 for a, _, _ in got)
     assert [r for r in got if r[0] % 100 == 0] == rows(similar_labels(c, asked="label_id % 100 = 0"))
+
+
+class Chain:
+    """Artists 1 to 12, each an alias of the next and on a release with the next; 20 alone."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        links = [(i, i + 1) for i in range(1, 12)]
+        self.artists = spark.createDataFrame([(i,) for i in [*range(1, 13), 20]], "artist_id bigint")
+        self.aliases = spark.createDataFrame(links, "artist_id bigint, other_id bigint")
+        self.by = spark.createDataFrame([(r, i) for r, pair in enumerate(links) for i in pair] + [(50, 1), (50, 2), (60, 20)], "release_id bigint, artist_id bigint")
+
+
+def test_distances_answer_for_all_artists(spark):
+    c, near = Chain(spark), range(1, 13)
+    pairs = [(a, b, abs(a - b), 2 if {a, b} == {1, 2} else 1) for a in near for b in near if 1 <= abs(a - b) <= 2]
+    assert rows(collaborator_distances(c)) == sorted(pairs, key=repr)
+    for depth, got in ((6, alias_distances(c)), (9, alias_distances(c, depth=9))):
+        assert rows(got) == sorted([(a, b, abs(a - b)) for a in near for b in near if abs(a - b) <= depth] + [(20, 20, 0)], key=repr)
