@@ -2,79 +2,111 @@
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows. The method then compares each text's
 character-class histogram and common-word histogram with its language's reference by the Jensen-Shannon distance
-(square root of the divergence in bits, 0 to 1). References are summed over all texts of the language that pass the
-base rules; texts with a null or unknown language are held against the sum over all languages.
+(square root of the divergence in bits, 0 to 1). A language's common words are its most frequent ones in the corpus, counted over
+all texts; its references are summed over all its texts that pass the base rules. Texts whose language is null or has under
+``least_share`` of all texts form one group with words and references of its own, so there are at most 1 / ``least_share`` groups more:
+that is why words and references may be broadcast.
 
 Defined results: a null text counts as empty; an empty or white-space text has zero counts and fails the base rules; a
-text of under ``min_words`` words gets no verdict from the distances (they are null) and keeps its base verdict; a
-language whose texts all fail the base rules has no reference and its texts are held against the overall one. Repeated rows are judged alike.
+text of under ``min_words`` words gets no verdict from the distances (they are null) and keeps its base verdict; so does
+a text whose group has no text that passes the base rules. A null ``doc_id`` is a row like any other, repeated rows are judged alike, extra
+columns are ignored, ties among common words go to the least word, an empty table gives an empty result. Long texts take
+time in proportion to their words, and to the logarithm of the words where windows repeat.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, Scratch, text_of, words_of
+from .common import Scratch, text_of, words_of
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
-# Common words of four languages.
-COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "auf", "nicht"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-}
-CHAR_CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[!-/:-@\[-`{-~]+"}
-
-
-def _listed() -> list[str]:
-    return sorted({w for words in COMMON_WORDS.values() for w in words})
-
-
-def base_counts(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang and the base counts, with the histograms ``chars`` and ``common``."""
-    df = docs.select("doc_id", F.col("lang").alias("lang"), text_of("text").alias("t"))
-    df = df.withColumn("w", words_of(F.col("t"))).withColumn("n_words", F.size("w").cast("long"))
-    # Only words short enough to be listed are held against the list.
-    longest = max(map(len, _listed()))
-    short = F.filter("w", lambda x: F.length(x) <= longest)
-    df = df.withColumn("marked", F.concat(F.lit("  "), F.lower(F.array_join(short, "  ")), F.lit("  ")))
-    lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("lines", lines).withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).drop("w")
-    count = F.col("n_words").cast("int") - (WINDOW - 1)
-    windows = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct(F.xxhash64(F.slice(F.col("h"), i, F.lit(WINDOW))).alias("h"), i.alias("i")))
-    # Using ``h`` twice keeps the optimizer from computing it again for each window.
-    df = df.withColumn("win", F.when(F.size("h") > WINDOW, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("h")
-    same = lambda x, k, d: F.coalesce(F.get(F.col("win"), k + d)["h"] == x["h"], F.lit(False))
-    again = F.filter("win", lambda x, k: ((k > 0) & same(x, k, F.lit(-1))) | same(x, k, F.lit(1)))
-    df = df.withColumn("at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("win")
+SYMBOLS = r"[#*$%&|<>]+"
+COMMON = 16
+#: Classes of characters; lower-case letters, white space, symbols and what is left are counted beside.
+CHAR_CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "mark": r"[!-/:-@\[-`{-~]+"}
+
+
+def _cut(text: str, regex: str) -> Column:
+    """How many characters of a column the expression matches."""
+    return F.length(text) - F.length(F.regexp_replace(text, regex, ""))
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """``w`` to ``win``: a hash of the eight words from each word on, built by doubling (1, 2, 4, 8); the last seven are of fewer words."""
+    df = df.withColumn("win", F.transform("w", lambda x: F.xxhash64(x)))
+    width = 1
+    while width < WINDOW:
+        later = F.slice("win", width + 1, F.greatest(F.size("win") - width, F.lit(0)))
+        df = df.withColumn("win", F.zip_with("win", later, lambda a, b: F.xxhash64(a, b)))
+        width *= 2
+    return df
+
+
+def _repeat_words(df: DataFrame) -> DataFrame:
+    """``win`` to ``n_repeat_words``. Only texts with two equal windows are looked at more closely."""
+    places = F.sort_array(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = df.withColumn("placed", F.when(F.size(F.array_distinct("win")) < F.size("win"), places).otherwise(none)).drop("win")
+    same = lambda x, k, d: F.coalesce(F.get(F.col("placed"), k + d)["h"] == x["h"], F.lit(False))
+    again = F.filter("placed", lambda x, k: ((k > 0) & same(x, k, F.lit(-1))) | same(x, k, F.lit(1)))
+    df = df.withColumn("at", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("placed")
     covered = F.transform("at", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("at"), k + 1) - x, F.lit(WINDOW))))
-    length = F.length("t")
+    return df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0), lambda a, b: a + b).cast("long")).drop("at")
+
+
+def grouped_by_language(docs: DataFrame, least_share: float) -> DataFrame:
+    """doc_id, text (never null) and ``grp``: the language, or null for those of too few texts."""
+    rows = docs.select("doc_id", text_of("text").alias("text"), "lang")
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    total = langs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # At most 1 / least_share languages.
+    own = sorted(r["lang"] for r in langs.where(F.col("lang").isNotNull() & (F.col("n") >= least_share * total)).select("lang").collect())
+    return rows.withColumn("grp", F.when(F.col("lang").isin(own), F.col("lang")) if own else F.lit(None).cast("string"))
+
+
+def common_words(rows: DataFrame, most: int = COMMON) -> DataFrame:
+    """(grp, vocabulary): the ``most`` most frequent lower-cased words of each group, over all its texts."""
+    forms = rows.select("grp", F.explode(words_of(F.col("text"))).alias("x")).groupBy("grp", "x").agg(F.count("*").alias("n"))
+    counts = forms.groupBy("grp", F.lower("x").alias("x")).agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("grp").orderBy(F.desc("n"), "x")
+    best = counts.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most)
+    return best.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda s: s["x"]).alias("vocabulary"))
+
+
+def base_counts(rows: DataFrame, vocabularies: DataFrame) -> DataFrame:
+    """Per row of (doc_id, text, grp): the base counts and the histograms ``chars`` and ``common``."""
+    spark = rows.sparkSession
+    known = [(r["grp"], r["vocabulary"]) for r in vocabularies.collect()]  # ``COMMON`` words a group
+    listed = sorted({f for _, words in known for w in words for f in (w, w.capitalize(), w.upper())})
+    table = F.broadcast(spark.createDataFrame(known, "of string, vocabulary array<string>"))
+    df = rows.join(table, F.col("grp").eqNullSafe(F.col("of")), "left").drop("of").withColumn("w", words_of(F.col("text")))
+    some = F.filter("w", lambda x: x.isin(listed)) if listed else F.slice("w", 1, 0)
+    df = df.withColumn("some", F.split(F.lower(F.array_join(some, " ")), " "))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("lines", lines).withColumn("n_words", F.size("w").cast("long")).withColumn("len", F.length("text"))
+    df = df.withColumn("word_chars", F.length(F.array_join("w", "")))
+    # Without lower-case letters and spaces little is left, which the other classes are counted in.
+    df = df.withColumn("rest", F.regexp_replace("text", r"[a-z\x20]+", "")).drop("text")
+    df = _repeat_words(_windows(df).drop("w"))
+    white = F.col("len") - F.col("word_chars")
+    cuts = {"symbol": _cut("rest", SYMBOLS), "white": _cut("rest", r"[\x09-\x0D]+")} | {k: _cut("rest", r) for k, r in CHAR_CLASSES.items()}
+    df = df.select("*", *(v.alias(f"c_{k}") for k, v in cuts.items()), F.length("rest").alias("c_rest"), white.alias("c_space"))
+    lower = F.col("len") - F.col("c_rest") - (F.col("c_space") - F.col("c_white"))
+    classes = [lower, F.col("c_upper"), F.col("c_digit"), F.col("c_mark") - F.col("c_symbol"), F.col("c_symbol"), F.col("c_space")]
+    other = F.greatest(F.lit(0), F.col("len") - sum(classes[1:], classes[0]))
+    found = F.transform("vocabulary", lambda v: F.size("some") - F.size(F.array_remove(F.col("some"), v)))
+    found = F.coalesce(found, F.array().cast("array<int>"))
     df = df.select(
-        "doc_id", "lang", "n_words",
-        F.length(F.translate("t", WS_CHARS, "")).cast("long").alias("word_chars"),
-        (length - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate(covered, F.lit(0), lambda a, b: a + b).cast("long").alias("n_repeat_words"),
-        length.cast("long").alias("len"),
-        *[(length - F.length(F.regexp_replace("t", r, ""))).cast("long").alias(f"c_{k}") for k, r in CHAR_CLASSES.items()],
-        "marked",
+        "doc_id", "grp", "n_words", F.col("word_chars").cast("long").alias("word_chars"), F.col("c_symbol").cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        F.transform(F.array(*classes, other), lambda x: x.cast("long")).alias("chars"), found.alias("common"),
     )
-    counts = [((F.octet_length("marked") - F.octet_length(F.replace(F.col("marked"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("long") for w in _listed()]
-    space = F.col("len") - F.col("word_chars")
-    classes = [*(F.col(f"c_{k}") for k in CHAR_CLASSES), space, F.col("n_symbols")]
-    rest = F.greatest(F.lit(0), F.col("len") - reduce(lambda a, b: a + b, classes[:-1]))
-    mark = F.col("c_mark") - F.col("n_symbols")
-    chars = F.array(*(F.col(f"c_{k}") for k in CHAR_CLASSES if k != "mark"), mark, F.col("n_symbols"), space, rest)
-    df = df.withColumn("chars", chars).withColumn("common", F.array(*counts))
-    other = F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, b: a + b)
-    df = df.withColumn("common", F.concat("common", F.array(F.greatest(F.lit(0), other).cast("long"))))
+    rest = F.greatest(F.lit(0), F.col("n_words") - F.aggregate("common", F.lit(0), lambda a, b: a + b)).cast("long")
+    df = df.withColumn("common", F.concat(F.transform("common", lambda x: x.cast("long")), F.array(rest)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "chars", "common")
+    return df.withColumn("base_failed", failed)
 
 
 def _total(counts: Column) -> Column:
@@ -90,13 +122,14 @@ def with_shares(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns(shares).drop(*(f"__{c}" for c in columns))
 
 
-def _sums(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The references of each key: shares of the histograms' sums."""
-    n = {"chars": len(CHAR_CLASSES) + 3, "common": len(_listed()) + 1}
-    parts = [F.sum(F.col(k)[i]).alias(f"{k}_{i}") for k, size in n.items() for i in range(size)]
-    out = df.where(~F.col("base_failed")).groupBy(*keys).agg(F.count("*").alias("texts"), *parts)
-    out = out.select(*keys, "texts", *[F.array(*(F.col(f"{k}_{i}") for i in range(size))).alias(k) for k, size in n.items()])
-    return with_shares(out, {"chars": "ref_chars", "common": "ref_common"}).select(*keys, "texts", "ref_chars", "ref_common")
+def references(sample: DataFrame) -> DataFrame:
+    """(of, ref_chars, ref_common): the shares of each group's summed histograms, over texts that pass the base rules."""
+    n = {"chars": len(CHAR_CLASSES) + 4, "common": COMMON + 1}
+    parts = [F.sum(F.get(F.col(k), F.lit(i))).alias(f"{k}_{i}") for k, size in n.items() for i in range(size)]
+    out = sample.where(~F.col("base_failed")).groupBy("grp").agg(*parts)
+    # A group of fewer words has shorter histograms.
+    out = out.select(F.col("grp").alias("of"), *[F.array_compact(F.array(*(F.col(f"{k}_{i}") for i in range(size)))).alias(k) for k, size in n.items()])
+    return with_shares(out, {"chars": "ref_chars", "common": "ref_common"}).select("of", "ref_chars", "ref_common")
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -105,32 +138,27 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), _total(F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a)))))
 
 
-def _against(stats: DataFrame, sample: DataFrame, least_share: float = 0.001) -> DataFrame:
-    """Distances of ``stats`` from references summed over ``sample``.
-
-    A language has a reference of its own from ``least_share`` of the sample's texts on: so there are at most 1 / least_share,
-    which is why they may be broadcast, and no join meets all texts of a language in one task.
-    """
-    overall = _sums(sample, [])
-    by_lang = _sums(sample.where(F.col("lang").isNotNull()), ["lang"]).join(F.broadcast(overall.select(F.col("texts").alias("all_texts"))))
-    by_lang = by_lang.where(F.col("texts") >= least_share * F.col("all_texts")).select(F.col("lang").alias("ref_lang"), F.col("ref_chars").alias("l_chars"), F.col("ref_common").alias("l_common"))
-    df = stats.join(F.broadcast(by_lang), F.col("lang") == F.col("ref_lang"), "left").join(F.broadcast(overall.drop("texts")))
-    far = lambda k: distance(F.col(f"p_{k}"), F.coalesce(f"l_{k}", f"ref_{k}"))
+def _against(stats: DataFrame, sample: DataFrame) -> DataFrame:
+    """``stats`` with its distances from the references summed over ``sample``."""
+    df = stats.join(F.broadcast(references(sample)), F.col("grp").eqNullSafe(F.col("of")), "left")
+    far = lambda k: distance(F.col(f"p_{k}"), F.col(f"ref_{k}"))
     return df.withColumn("char_distance", far("chars")).withColumn("word_distance", far("common")).select(*stats.columns, "char_distance", "word_distance")
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.2, slack: float = 0.9) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed, char_distance, word_distance and kept.
+def quality_rules(docs: DataFrame, min_words: int = 50, max_chars: float = 0.2, max_words: float = 0.2, slack: float = 0.9, least_share: float = 0.001) -> DataFrame:
+    """doc_id, the base counts, base_failed, char_distance, word_distance and kept.
 
     References are summed twice: over all texts that pass the base rules, then over those of them within the limits of
     the first references, so that junk does not shape them. ``slack`` over the root of the word count widens the
     limit on common words: a short text's histogram strays by chance.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
-    stats = scratch.save(with_shares(base_counts(docs), {"chars": "p_chars", "common": "p_common"}), "stats")
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= max_words + slack / F.sqrt(F.greatest(F.lit(1.0), F.col("n_words").cast("double"))))
+    rows = grouped_by_language(docs, least_share)
+    stats = scratch.save(with_shares(base_counts(rows, common_words(rows)), {"chars": "p_chars", "common": "p_common"}), "stats")
+    long_enough = F.col("n_words") >= min_words
+    close = (F.coalesce("char_distance", F.lit(0.0)) <= max_chars) & (F.coalesce("word_distance", F.lit(0.0)) <= max_words + slack / F.sqrt(F.greatest(F.lit(1.0), F.col("n_words").cast("double"))))
     first = _against(stats, stats)
-    df = _against(stats, first.where(fits).select(*stats.columns))
+    df = _against(stats, first.where(close).select(*stats.columns))
     for k in ("char_distance", "word_distance"):
-        df = df.withColumn(k, F.when(F.col("n_words") >= min_words, F.col(k)))
-    return df.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & fits).alias("kept"))
+        df = df.withColumn(k, F.when(long_enough, F.col(k)))
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", (~F.col("base_failed") & close).alias("kept"))

@@ -13,7 +13,7 @@ from .common import read_table
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
-    return quality_rules(read_table(spark, sf_dir, "documents")).drop("lang")
+    return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
