@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, Scratch, text_of, words_of
+from .common import Scratch, text_of, words_of
 
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "bang", "bar", "mark", "foreign", "distinct_words", "same_lines", "line_words", "space")
 #: A conjunction: {feature: (more than, at most)}; None is no bound.
@@ -44,29 +44,35 @@ class RuleModel:
         return 1 / (1 + F.exp(-total))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """``docs``' doc_id and the ``FEATURES`` of its text."""
-    df = docs.select("doc_id", text_of("text").alias("t"))
-    df = df.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.split("t", "\n")).withColumn("n", F.length("t"))
-    without = lambda regex: (F.col("n") - F.length(F.regexp_replace("t", regex, ""))) / F.greatest(F.col("n"), F.lit(1))
-    dropped = lambda chars: (F.col("n") - F.length(F.translate("t", chars, ""))) / F.greatest(F.col("n"), F.lit(1))
+def with_statistics(df: DataFrame) -> DataFrame:
+    """``__row`` and the ``FEATURES`` of ``__text``, for rows of (__row, __text)."""
+    df = df.withColumn("w", words_of(F.col("__text"))).withColumn("lines", F.split("__text", "\n")).withColumn("n", F.length("__text"))
+    # Without lower-case letters and spaces little is left, which the other classes are counted in.
+    df = df.withColumn("rest", F.regexp_replace("__text", r"[a-z\x20]+", "")).drop("__text")
+    cut = lambda regex: (F.length("rest") - F.length(F.regexp_replace("rest", regex, ""))) / F.greatest(F.col("n"), F.lit(1))
     words = F.greatest(F.size("w"), F.lit(1))
+    in_words = F.length(F.array_join("w", ""))
     values = {
         "log_words": F.log1p(F.size("w").cast("double")),
-        "word_length": F.length(F.translate("t", WS_CHARS, "")) / words,
-        "upper": without(r"\p{Lu}+"),
-        "digit": without("[0-9]+"),
-        "symbol": dropped("#$%&*<>@=+~^"),
-        "bang": dropped("!"),
-        "bar": dropped("|"),
-        "mark": dropped(".,;:?'\"()-"),
-        "foreign": without(r"[^\x00-\x7F]+"),
+        "word_length": in_words / words,
+        "upper": cut(r"\p{Lu}+"),
+        "digit": cut("[0-9]+"),
+        "symbol": cut("[#$%&*<>@=+~^]+"),
+        "bang": cut("!+"),
+        "bar": cut(r"\|+"),
+        "mark": cut(r"""[.,;:?'"()-]+"""),
+        "foreign": cut(r"[^\x00-\x7F]+"),
         "distinct_words": F.size(F.array_distinct("w")) / words,
         "same_lines": 1 - F.size(F.array_distinct("lines")) / F.size("lines"),
         "line_words": F.log1p(F.size("w") / F.size("lines")),
-        "space": dropped(WS_CHARS),
+        "space": (F.col("n") - in_words) / F.greatest(F.col("n"), F.lit(1)),
     }
-    return df.select("doc_id", *(values[k].cast("double").alias(k) for k in FEATURES))
+    return df.select("__row", *(values[k].cast("double").alias(k) for k in FEATURES))
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """``docs``' doc_id and the ``FEATURES`` of its text."""
+    return with_statistics(docs.select(F.col("doc_id").alias("__row"), text_of("text").alias("__text"))).withColumnRenamed("__row", "doc_id")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -155,15 +161,11 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; all columns stay."""
-    model = fit_rules(Scratch(docs.sparkSession, "classifier").save(statistics(docs), "stats"), labels, **options)
-    df = statistics_beside(docs.withColumn("__row", F.struct(*docs.columns))).withColumn("__score", model.score())
-    # The running number keeps the filter above the statistics: pushed below, it would compute them anew for each rule.
-    df = df.withColumn("__number", F.monotonically_increasing_id())
-    return df.where((F.col("__score") >= 0.5) & (F.col("__number") >= 0)).select("__row.*")
-
-
-def statistics_beside(df: DataFrame) -> DataFrame:
-    """``__row`` and the ``FEATURES`` of the same row's text, without a join."""
-    renamed = df.select(F.col("__row").alias("doc_id"), F.col("__row.text").alias("text"))
-    return statistics(renamed).withColumnRenamed("doc_id", "__row")
+    """``docs`` without the rows that the classifier rejects; all columns stay, whatever their names.
+
+    Rows are written once with their statistics, so that texts are not measured again to be scored.
+    """
+    scratch = Scratch(docs.sparkSession, "classifier")
+    rows = scratch.save(with_statistics(docs.select(F.struct(*docs.columns).alias("__row"), text_of("text").alias("__text"))), "rows")
+    model = fit_rules(rows.select(F.col("__row.doc_id").alias("doc_id"), *FEATURES), labels, **options)
+    return rows.where(model.score() >= 0.5).select("__row.*")
