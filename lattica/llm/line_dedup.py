@@ -8,7 +8,8 @@ so does not depend on where a passage stands or what surrounds it.
 Defined results: a line without words is no part of a pair (its neighbours are); it goes where it lies inside a removed pair or, at a
 text's edge, beside a removed run; an occurrence that overlaps the first one in its own document stays; a null text stays null and an empty text
 stays empty; a null ``doc_id`` sorts before the others; repeated rows (same id and text) are one document and are changed alike; two
-occurrences in one document count as a repeat; other columns, whatever their names, pass through ``dedup_lines`` unchanged.
+occurrences in one document count as a repeat; other columns, whatever their names, pass through ``dedup_lines`` unchanged; an empty
+table gives an empty result. Time grows with a text's lines and its repeated runs, however long it is.
 """
 
 from __future__ import annotations
@@ -51,34 +52,47 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, long_line: int = 50) -> Dat
     df = docs.select("doc_id", text_of("text").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     df = df.select("doc_id", "key", _lines(F.col("text")).alias("lines")).withColumn("h", F.transform("lines", lambda s: F.xxhash64(s["x"])))
     runs = scratch.save(df.select("doc_id", "key", F.explode(_runs(long_line)).alias("r")).select("doc_id", "key", "r.*"), "runs")
+    # A hash of the place tells occurrences apart in 8 bytes. Repeated rows have equal places, so two places are two occurrences.
+    spot = F.xxhash64("key", "k")
+    again = runs.groupBy("hash").agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one != other").select(F.col("hash").alias("of"))
+    repeated = scratch.save(runs.join(again, F.col("hash") == F.col("of"), "left_semi"), "repeated")
+    scratch.drop(runs)
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "key", "k")
-    # Repeated rows have equal places, so two places are two occurrences.
-    again = runs.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(F.col("hash").alias("of"), "first")
+    firsts = repeated.groupBy("hash").agg(F.min(place).alias("first")).withColumnRenamed("hash", "of")
     is_first = place == F.col("first")
     apart = (F.col("key") != F.col("first.key")) | (F.col("k") >= F.col("first.k") + F.col("n"))
-    marked = runs.join(again, F.col("hash") == F.col("of")).where(is_first | apart).select("key", "k", "n", "hash", is_first.alias("is_first")).distinct()
+    marked = repeated.join(firsts, F.col("hash") == F.col("of")).where(is_first | apart).select("key", "k", "n", "hash", is_first.alias("is_first")).distinct()
     marked = scratch.save(marked, "marked")
+    scratch.drop(repeated)
     # Only texts with a repeated run are read again, for the comparison of bytes.
     asked = marked.groupBy("key").agg(F.collect_list(F.struct("k", "n", "hash", "is_first")).alias("asked")).withColumnRenamed("key", "asked_key")
     texts = docs.select(F.xxhash64("doc_id", text_of("text")).alias("key"), text_of("text").alias("text")).join(asked, F.col("key") == F.col("asked_key"))
     texts = texts.select("key", "asked", F.size(F.split("text", "\n")).alias("all"), _lines(F.col("text")).alias("lines"))
     texts = texts.select("key", F.explode(F.transform("asked", _read)).alias("r")).select("key", "r.*")
     texts = scratch.save(texts, "texts")
+    scratch.drop(marked)
     firsts = texts.where("is_first").select(F.col("hash").alias("of"), F.col("bytes").alias("first_bytes")).dropDuplicates(["of"])
     same = texts.where("not is_first").join(firsts, F.col("hash") == F.col("of")).where(F.col("bytes") == F.col("first_bytes"))
-    return same.select("key", "a", "b").distinct()
+    gone = scratch.save(same.select("key", "a", "b").distinct(), "gone")
+    scratch.drop(texts)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
-    """``docs`` with ``text`` without repeated runs, and ``removed_lines`` (int), ``all_lines`` (int) beside."""
+    """``docs`` with ``text`` without repeated runs, and ``removed_lines`` (int), ``all_lines`` (int) beside (in place of such columns)."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    gone = repeated_runs(docs, scratch, long_line).groupBy("key").agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("__gone")).withColumnRenamed("key", "__gone_key")
-    df = docs.withColumn("__key", F.xxhash64("doc_id", text_of("text")))
-    df = df.join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__gone_key"), "left")
-    lines = F.split(F.col("text"), "\n")
-    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col("__gone"))
-    text = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("__lines"), i)), "\n")
-    found = F.col("__gone").isNotNull()
-    df = df.withColumn("__lines", F.when(found, lines)).withColumn("removed_lines", F.when(found, F.size(F.array_distinct("__gone"))).otherwise(0))
-    df = df.withColumn("all_lines", F.when(F.col("text") == "", 0).otherwise(F.coalesce(F.size(lines), F.lit(0))))
-    return df.withColumn("text", F.when(found, text).otherwise(F.col("text"))).drop("__key", "__gone", "__gone_key", "__lines")
+    gone = repeated_runs(docs, scratch, long_line).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b")))).alias("gone"))
+    # The other columns go along as one, so that none clashes with a name used here.
+    text = F.col("text")
+    df = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64("doc_id", text_of("text")).alias("row_key"))
+    df = df.join(gone.hint("shuffle_hash"), F.col("row_key") == F.col("key"), "left").withColumn("lines", F.split("text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone"))
+    left = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i - 1)), "\n")
+    found = F.col("gone").isNotNull()
+    df = df.select(
+        F.col("row"), F.when(found, left).otherwise(text).alias("text"),
+        F.when(found, F.size("gone")).otherwise(0).alias("removed_lines"),
+        F.when(text == "", 0).otherwise(F.coalesce(F.when(text.isNotNull(), F.size("lines")), F.lit(0))).alias("all_lines"),
+    )
+    own = ("removed_lines", "all_lines")
+    return df.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in own), *own)
