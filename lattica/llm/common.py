@@ -76,24 +76,48 @@ def string_array(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def add_spans(df: DataFrame, text: str, out: str, regex: str, keep=None) -> DataFrame:
+SUMS = 128
+
+
+def add_running_sums(df: DataFrame, lengths: str, out: str) -> DataFrame:
+    """Add array ``out``: for each place of ``lengths``, the sum of the elements before it.
+
+    Sums are taken of blocks of ``SUMS`` elements first, so that arrays of 100,000 elements take no quadratic time.
+    """
+    blocks, ends, n = f"__{out}_b", f"__{out}_e", F.size(lengths)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+    parts = F.sequence(F.lit(0), F.floor((n - 1) / SUMS).cast("int"))
+    df = df.withColumn(blocks, F.when(n > 0, F.transform(parts, lambda i: total(F.slice(F.col(lengths), i * SUMS + 1, F.lit(SUMS))))))
+    df = df.withColumn(ends, F.when(F.size(blocks) > 0, F.transform(blocks, lambda _, i: total(F.slice(F.col(blocks), F.lit(1), i)))))
+
+    def before(_: Column, i: Column) -> Column:
+        first = i - i % SUMS
+        return F.get(F.col(ends), F.floor(i / SUMS).cast("int")) + total(F.slice(F.col(lengths), first + 1, i - first))
+
+    # Two uses of a column keep the optimizer from computing it again for each element.
+    return df.withColumn(out, F.when(F.size(ends) > 0, F.transform(F.col(lengths), before))).drop(blocks, ends)
+
+
+def add_spans(df: DataFrame, text: str, out: str, regex: str, keep=None, gaps: str | None = None) -> DataFrame:
     """Add array ``out`` of ``struct<m, s, e>``: the leftmost non-overlapping matches with code-point places, end exclusive.
 
     Spark returns matches without their places, so those are summed from the pieces between matches, which ``split``
     returns in the same order. ``keep`` filters after places are known, so a dropped match still takes its characters.
+    ``gaps`` names a column for the piece of text before each match, null where there is none.
     """
-    m, p = f"__{out}_m", f"__{out}_p"
+    m, p, n, a = (f"__{out}_{x}" for x in "mpna")
     df = df.withColumn(m, F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)))
-    df = df.withColumn(p, F.when(F.size(m) > 0, F.transform(F.split(F.col(text), regex), F.length)))
+    df = df.withColumn(p, F.when(F.size(m) > 0, F.split(F.col(text), regex)))
+    df = df.withColumn(n, F.when(F.size(p) > 0, F.zip_with(F.col(m), F.slice(F.col(p), F.lit(1), F.size(m)), lambda x, y: F.length(x) + F.length(y))))
+    df = add_running_sums(df, n, a)
 
     def place(x: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(F.col(p), F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + F.aggregate(F.slice(F.col(m), F.lit(1), i), F.lit(0), lambda a, b: a + F.length(b))
-        return F.struct(x.alias("m"), before.alias("s"), (before + F.length(x)).alias("e"))
+        start = F.get(F.col(a), i) + F.length(F.get(F.col(p), i))
+        return F.struct(x.alias("m"), start.alias("s"), (start + F.length(x)).alias("e"))
 
-    spans = F.transform(F.col(m), place)
     none = F.array().cast("array<struct<m:string,s:int,e:int>>")
-    # Two uses of the pieces keep the optimizer from computing them again for each match.
-    df = df.withColumn(out, F.when(F.size(p) > 0, spans).otherwise(none)).drop(m, p)
+    df = df.withColumn(out, F.when(F.size(a) > 0, F.transform(F.col(m), place)).otherwise(none))
+    df = df.withColumnRenamed(p, gaps).drop(m, n, a) if gaps else df.drop(m, p, n, a)
     return df.withColumn(out, F.filter(F.col(out), keep)) if keep is not None else df
 
 

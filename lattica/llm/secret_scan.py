@@ -6,7 +6,8 @@ holds if one of its alternatives does, an alternative is a set of trigrams that
 the candidates are verified by the expression itself. A rule without mandatory trigrams scans every text.
 
 Defined results: a null text counts as empty and has no spans; a null ``doc_id`` is a row like any other (rows are keyed by
-a hash of id and text); repeated rows get the same spans each; extra columns are ignored.
+a hash of id and text); repeated rows get the same spans each; extra columns are ignored; an empty table gives an empty result.
+Places are summed in blocks, so a text of 100,000 matches takes seconds.
 """
 
 from __future__ import annotations
