@@ -1,18 +1,23 @@
 """URL filter by a path-template tree (DataFrame functions only).
 
 Base rules (host, path) decide where one fits; the longest wins. Their decisions are the labels of the method, which judges the
-rest: per host, path segments that vary become wildcards level by level; a branch whose labelled block rate does not
-differ from its parent's (two-proportion z test) merges into the parent, and one that differs takes a rate smoothed towards it.
-A template whose rate reaches ``reject`` is blocked.
+rest. Two trees are grown over the paths, one for all hosts together and one for each host: level by level, segments that
+vary become wildcards. Block rates go down the trees, first the common one, then the host's own: siblings whose labelled rates do not
+differ (two-proportion z test, in order of rate) merge into one branch; a branch that does not differ from what its parents
+lead to expect keeps that, and one that differs takes its own rate, smoothed towards it. A template whose rate reaches ``reject`` is blocked.
+
+Trees have at most ``depth`` levels: what follows is one segment of the last. A parent has at most 1 / ``share`` literal
+children and a wildcard, so siblings are ordered in small windows.
 
 Defined results: a null url or one without ``://`` has empty host and path and is judged with the others of that
-empty host; urls without any label nearby take the overall rate of blocks (and are allowed where there is none);
-repeated rows are judged alike; extra columns are ignored.
+empty host; urls whose templates have no labels on any host take the overall rate of blocks (and are allowed where there are no labels);
+repeated rows are judged alike; a null ``page_id`` is a row like any other; very long paths fold beyond the last level; extra columns,
+also ones named host or path, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
@@ -43,50 +48,76 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def _templates(paths: DataFrame, scratch: Scratch, depth: int, support: int, share: float) -> DataFrame:
-    """Add ``t1``..``t<depth>``: the template prefixes of each distinct (host, path)."""
-    last = F.when(F.size("segments") > depth, F.array_join(F.slice("segments", depth, 100_000), "/"))
-    for d in range(1, depth + 1):
-        parent = F.col(f"t{d - 1}") if d > 1 else F.lit("")
-        segment = last if d == depth else F.lit(None).cast("string")
-        paths = paths.withColumn("parent", parent).withColumn("seg", F.coalesce(segment, F.get("segments", F.lit(d - 1)), F.lit("")))
-        kids = paths.groupBy("host", "parent", "seg").agg(F.sum("n").alias("c"))
-        total = kids.groupBy("host", "parent").agg(F.sum("c").alias("all"))
-        # A segment stays literal if enough urls below its parent have it; the others vary and share a wildcard.
-        literal = kids.join(total, ["host", "parent"]).where((F.col("c") >= support) & (F.col("c") >= share * F.col("all"))).select("host", "parent", "seg", F.lit(True).alias("literal"))
-        paths = paths.join(literal, ["host", "parent", "seg"], "left")
+def _templates(paths: DataFrame, scratch: Scratch, scope: list[str], name: str, depth: int, support: int, share: float) -> tuple[DataFrame, int]:
+    """Add ``<name>0``, ``<name>1``..: the template prefixes of each distinct (host, path); and how many levels there are.
+
+    A segment stays literal if enough urls below its parent have it; the others vary and share a wildcard.
+    """
+    deepest = min(depth, paths.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0])
+    paths = paths.withColumn(f"{name}0", F.lit(""))
+    for d in range(1, deepest + 1):
+        rest = F.array_join(F.slice("segments", d, F.greatest(F.size("segments") - d + 1, F.lit(0))), "/")
+        segment = rest if d == depth else F.coalesce(F.get("segments", F.lit(d - 1)), F.lit(""))
+        paths = paths.withColumn("parent", F.col(f"{name}{d - 1}")).withColumn("seg", segment)
+        kids = paths.groupBy(*scope, "parent", "seg").agg(F.sum("n").alias("c"))
+        total = kids.groupBy(*scope, "parent").agg(F.sum("c").alias("all"))
+        held = (F.col("c") >= support) & (F.col("c") >= share * F.col("all"))
+        literal = kids.join(total, [*scope, "parent"]).where(held).select(*scope, "parent", "seg", F.lit(True).alias("literal"))
+        paths = paths.join(literal, [*scope, "parent", "seg"], "left")
         step = F.when(F.col("seg") == "", "").otherwise(F.concat(F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*")))
-        paths = scratch.save(paths.withColumn(f"t{d}", F.concat("parent", step)).drop("parent", "seg", "literal"), f"level{d}")
-    return paths
-
-
-def _rates(paths: DataFrame, scratch: Scratch, depth: int, weight: float, z: float) -> DataFrame:
-    """Add ``rate``: the smoothed share of blocks of the finest branch that differs from its parent."""
-    every = paths.agg(F.sum("blocks").alias("b"), F.sum("labelled").alias("l"))
-    paths = paths.join(F.broadcast(every.select(F.coalesce(F.col("b") / F.nullif("l", F.lit(0)), F.lit(0.0)).alias("rate"))))
-    for d in range(depth + 1):
-        keys = ["host", *([f"t{d}"] if d else [])]
-        own = paths.groupBy(*keys).agg(F.sum("blocks").alias("b"), F.sum("labelled").alias("l"))
-        smooth = (F.col("b") + weight * F.col("rate")) / (F.col("l") + weight)
-        spread = F.sqrt(F.greatest(F.col("rate") * (1 - F.col("rate")), F.lit(0.01)) / F.col("l"))
-        differs = (F.col("l") > 0) & (F.abs(F.col("b") / F.nullif("l", F.lit(0)) - F.col("rate")) >= z * spread)
-        paths = paths.join(own, keys).withColumn("rate", F.when(differs, smooth).otherwise(F.col("rate"))).drop("b", "l")
-        paths = scratch.save(paths, f"rate{d}")
-    return paths
-
-
-def filter_urls(pages: DataFrame, rules=RULES, depth: int = 3, support: int = 5, share: float = 0.02, weight: float = 4.0, z: float = 1.96, reject: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and block_rate."""
+        paths = scratch.save(paths.withColumn(f"{name}{d}", F.concat("parent", step)).drop("parent", "seg", "literal"), f"{name}{d}")
+    return paths, deepest
+
+
+def _level(leaves: DataFrame, parent: list[str], child: list[str], weight: float, z: float) -> DataFrame:
+    """``leaves`` with ``rate`` moved by the branches ``child`` below ``parent``."""
+    differ = lambda p, q, over: F.abs(p - q) >= z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.01)) * over)
+    branch = leaves.groupBy(*parent, *child).agg(F.sum("b").alias("b"), F.sum("l").alias("l"), F.sum(F.col("l") * F.col("rate")).alias("e")).where("l > 0").withColumn("r", F.col("b") / F.col("l"))
+    if parent and child:
+        order = Window.partitionBy(*parent).orderBy("r", *child)
+        b, n = (F.lag(x).over(order) for x in "bl")
+        pooled = (F.col("b") + b) / (F.col("l") + n)
+        apart = F.abs(F.col("r") - b / n) >= z * F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) * (1 / F.col("l") + 1 / n))
+        branch = branch.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("cluster", F.sum("apart").over(order))
+        own = Window.partitionBy(*parent, "cluster")
+        branch = branch.select(*parent, *child, *(F.sum(x).over(own).alias(x) for x in "ble"))
+    expected, found = F.col("e") / F.col("l"), F.col("b") / F.col("l")
+    branch = branch.where(differ(expected, found, 1 / F.col("l"))).select(*parent, *child, F.col("b").alias("own_b"), F.col("l").alias("own_l"))
+    keys = [*parent, *child]
+    moved = leaves.join(branch, keys, "left")
+    rate = F.when(F.col("own_l").isNotNull(), (F.col("own_b") + weight * F.col("rate")) / (F.col("own_l") + weight)).otherwise(F.col("rate"))
+    return moved.withColumn("rate", rate).drop("own_b", "own_l")
+
+
+def template_rates(paths: DataFrame, scratch: Scratch, depth: int = 8, support: int = 5, share: float = 0.02, weight: float = 4.0, z: float = 1.96) -> DataFrame:
+    """(host, path, template, block_rate) of distinct rows (host, path, n, labelled, blocks)."""
+    paths = paths.withColumn("segments", F.array_remove(F.split("path", "/"), ""))
+    paths, common = _templates(scratch.save(paths, "paths"), scratch, [], "g", depth, support, share)
+    paths, own = _templates(paths, scratch, ["host"], "t", depth, support, share)
+    names = [*(f"g{d}" for d in range(common + 1)), *(f"t{d}" for d in range(own + 1))]
+    leaves = paths.groupBy("host", *names).agg(F.sum("blocks").alias("b"), F.sum("labelled").alias("l"))
+    leaves = scratch.save(leaves, "leaves")
+    every = leaves.agg(F.coalesce(F.sum("b") / F.nullif(F.sum("l"), F.lit(0)), F.lit(0.0)).alias("rate"))
+    leaves = leaves.join(F.broadcast(every))
+    for d in range(1, common + 1):
+        leaves = scratch.save(_level(leaves, [f"g{d - 1}"], [f"g{d}"], weight, z), f"common{d}")
+    leaves = scratch.save(_level(leaves, ["host"], [], weight, z), "host")
+    for d in range(1, own + 1):
+        leaves = scratch.save(_level(leaves, ["host", f"t{d - 1}"], [f"t{d}"], weight, z), f"own{d}")
+    # The last prefixes contain the ones before them.
+    ends = ["host", f"g{common}", f"t{own}"]
+    judged = paths.select(*ends, "path").join(leaves.select(*ends, F.col("rate").alias("block_rate")), ends)
+    return judged.select("host", "path", F.col(f"t{own}").alias("template"), "block_rate")
+
+
+def filter_urls(pages: DataFrame, rules=RULES, reject: float = 0.5, **tree) -> DataFrame:
+    """page_id, host, path, rule, verdict, template and block_rate. ``tree`` goes to ``template_rates``."""
     scratch = Scratch(pages.sparkSession, "url-filter")
-    url = text_of("url")
-    host, path = host_and_path(url)
+    host, path = host_and_path(text_of("url"))
     df = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, decided = rule_columns(F.col("host"), F.col("path"), rules)
     df = df.withColumn("rule", rule).withColumn("decided", decided)
     paths = df.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("decided").alias("labelled"), F.count_if(F.col("decided") == "block").alias("blocks"))
-    paths = scratch.save(paths.withColumn("segments", F.array_remove(F.split("path", "/"), "")), "paths")
-    paths = _rates(_templates(paths, scratch, depth, support, share), scratch, depth, weight, z)
-    judged = paths.select("host", "path", F.col(f"t{depth}").alias("template"), F.col("rate").alias("block_rate"))
-    out = df.join(judged, ["host", "path"])
+    out = df.join(template_rates(paths, scratch, **tree), ["host", "path"])
     verdict = F.coalesce("decided", F.when(F.col("block_rate") >= reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "block_rate")
