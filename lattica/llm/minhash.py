@@ -13,7 +13,8 @@ is missed with probability (1 - t^r)^b at most, under 1e-8 by default; ``bands_f
 
 Defined results: a null text counts as empty; an empty text, or one without words, has no shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; a null ``doc_id`` is its own component (null, kept);
-rows that share a doc_id are one node and get the same component; extra columns are ignored.
+rows that share a doc_id with different texts are classes of their own, each of which reports the component of its own text, and a
+class counts as linked with the other documents of its text only; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -167,10 +168,12 @@ def compare_cell(percent: int, bands: int, rows: int):
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int | None = None, cell_rows: int = 1024, cell_shingles: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (which needs doc_id and text)."""
-    spark = docs.sparkSession
-    bands = bands or bands_for(percent, rows)
-    scratch = Scratch(spark, "minhash")
-    small_batches(spark)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, width, percent, rows, bands or bands_for(percent, rows), cell_rows, cell_shingles)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, rows: int, bands: int, cell_rows: int, cell_shingles: int) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "minhash")
     feats = scratch.save(features(docs, width, bands * rows), "features")
     classes = feats.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = scratch.save(classes, "classes")

@@ -1,12 +1,14 @@
 """Best-fit packing of tokenized documents into sequences, by hierarchical residual packing.
 
 Documents become pieces of at most ``capacity`` tokens. Blocks of pieces are packed best-fit (longest first, each into the
-fullest bin that holds it); bins that are nearly full are emitted, the others become items of the next round, where blocks merge,
-until one block is left, whose bins are all emitted. A piece's place is its offset in its bin plus the offsets of the bins
-that hold that bin.
+fullest bin that holds it); bins that are nearly full are emitted, and so are those with less room than the shortest item left anywhere.
+The others become items of the next round, dealt anew to as many blocks as their number asks for, so a block never holds much more than
+``block`` items however badly they fit. Rounds end after one with a single block, or when one saves under a hundredth of
+its bins. A piece's place is its offset in its bin plus the offsets of the bins that hold that bin.
 
 Defined results: a null text counts as empty; an empty text has the end token alone; repeated rows are documents of their own;
-a null ``doc_id`` is carried through; extra columns are ignored; an empty table gives an empty result.
+a null ``doc_id`` is carried through; a very long text is many pieces; items of equal length go in the order of their ids; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, small_batches, text_of
 
 CAPACITY = 4096
-BLOCK = 16_384
+BLOCK = 4096
 NEARLY_FULL = 0.995
 
 
@@ -168,7 +170,8 @@ def _again(level: int, capacity: int):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``."""
     scratch = Scratch(pieces.sparkSession, "packing")
-    pieces = scratch.save(pieces, "pieces")
+    with small_batches(pieces.sparkSession):
+        pieces = scratch.save(pieces, "pieces")
     blocks = max(1, -(-pieces.count() // block))
     kinds = dict(pieces.dtypes)
     columns = list(pieces.columns)
@@ -179,20 +182,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nearly
         pdf["bin"] = (int(pdf["block"].iloc[0]) << 24) + bins
         return pdf
 
-    place = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int")
+    deal = lambda n, *keys: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", block int, offset bigint, bin bigint"
-    placed = scratch.save(pieces.withColumn("block", place).groupBy("block").applyInPandas(first, schema), "placed")
-    items = placed.groupBy("bin").agg(F.sum("length").alias("length"), F.first("block").alias("block"))
+    placed = scratch.save(pieces.withColumn("block", deal(blocks, "doc_id", "piece", "ids_crc32")).groupBy("block").applyInPandas(first, schema), "placed")
+    items = placed.groupBy("bin").agg(F.sum("length").alias("length"))
     levels = []
-    level = 1
     while blocks > 1:
-        # Bins under the limit are items again, some blocks together, so that underfull ones meet.
-        blocks = -(-blocks // 16)
-        under = items.where(F.col("length") < nearly_full * capacity).withColumn("block", F.floor(F.col("block") / 16).cast("int"))
-        moved = scratch.save(under.groupBy("block").applyInPandas(_again(level, capacity), "bin bigint, length bigint, block int, shift bigint, parent bigint"), f"level{level}")
+        under = scratch.save(items.where(F.col("length") < nearly_full * capacity), "under")
+        least = under.agg(F.min("length")).first()[0]
+        under = under.where(F.col("length") + F.lit(least or 0) <= capacity)
+        before = under.count()
+        if not before:
+            break
+        level = len(levels) + 1
+        blocks = -(-before // block)
+        again = under.withColumn("block", deal(blocks, "bin", F.lit(level)))
+        moved = scratch.save(again.groupBy("block").applyInPandas(_again(level, capacity), "bin bigint, length bigint, block int, shift bigint, parent bigint"), f"level{level}")
         levels.append(moved.select("bin", "shift", "parent"))
-        items = moved.groupBy("parent").agg(F.sum("length").alias("length"), F.first("block").alias("block")).withColumnRenamed("parent", "bin")
-        level += 1
+        items = moved.groupBy("parent").agg(F.sum("length").alias("length")).withColumnRenamed("parent", "bin")
+        if items.count() > 0.99 * before:
+            break
     for moved in levels:
         placed = placed.join(moved, "bin", "left").withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0))).withColumn("bin", F.coalesce("parent", "bin")).drop("shift", "parent")
     return placed.select(*columns, F.col("bin").alias("sequence_id"), "offset")
