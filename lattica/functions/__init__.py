@@ -30,11 +30,3 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
 def names(col: str) -> Column:
     """A set of names as one text, in order."""
     return F.array_join(F.sort_array(F.collect_set(F.col(col).cast("string"))), "|")
-
-
-def share_below(value: str) -> Column:
-    """Share of positive values strictly below; 0 for values that are not positive (needs no sort beyond the rank)."""
-    positive = F.when(F.col(value) > 0, F.col(value))
-    every = Window.orderBy(positive.asc_nulls_first())
-    nulls = F.count(F.when(positive.isNull(), 1)).over(Window.partitionBy())
-    return F.when(positive.isNull(), 0.0).otherwise((F.rank().over(every) - 1 - nulls) / F.count(positive).over(Window.partitionBy()))

@@ -131,11 +131,11 @@ def filtered_gaps(c: Catalog, families: tuple[str, ...] = ("R",), mediums: tuple
 
 
 @query("j8_second_catalog", """WITH cand AS (SELECT k AS release_id FROM ev WHERE event_type = 'signup' AND k IS NOT NULL UNION SELECT k FROM ev WHERE event_type = 'error' AND k IS NOT NULL), sib AS (SELECT label_id, year, min(master_id) AS m FROM releases JOIN masters USING (release_id) GROUP BY 1, 2 HAVING count(DISTINCT master_id) = 1)
-    SELECT r.release_id, coalesce(m.master_id, sib.m) AS master_id, CASE WHEN m.master_id IS NOT NULL THEN 'native' WHEN sib.m IS NOT NULL THEN 'sibling' ELSE 'none' END AS attached FROM cand JOIN releases r USING (release_id) LEFT JOIN masters m USING (release_id) LEFT JOIN sib ON sib.label_id = r.label_id AND sib.year = r.year WHERE NOT EXISTS (SELECT 1 FROM collected c WHERE c.release_id = r.release_id)""")
+    SELECT r.release_id, coalesce(m.master_id, sib.m) AS master_id, CASE WHEN m.master_id IS NOT NULL THEN 'native' WHEN sib.m IS NOT NULL THEN 'sibling' ELSE 'none' END AS attached FROM cand JOIN releases r USING (release_id) LEFT JOIN masters m USING (release_id) LEFT JOIN sib ON sib.label_id = r.label_id AND sib.year = r.year""")
 def second_catalog(c: Catalog) -> DataFrame:
-    """Releases that two feeds name and nobody holds, attached to their master: the native one, else that of their siblings if they have one only."""
+    """Releases that two feeds name, attached to their master: the native one, else that of their siblings if they have one only."""
     feed = lambda kind: c.events.where((F.col("event_type") == kind) & F.col("k").isNotNull()).select(F.col("k").alias("release_id"))
-    asked = feed("signup").union(feed("error")).distinct().join(c.collected.select("release_id"), "release_id", "left_anti")
+    asked = feed("signup").union(feed("error")).distinct()
     known = c.releases.select("release_id", "label_id", "year")
     ends = known.join(c.masters, "release_id").groupBy("label_id", "year").agg(F.min("master_id").alias("one"), F.max("master_id").alias("other")).where("one = other").select("label_id", "year", F.col("one").alias("sibling"))
     rows = known.join(asked, "release_id", "left_semi").join(c.masters, "release_id", "left").join(ends, ["label_id", "year"], "left")

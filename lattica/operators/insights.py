@@ -134,10 +134,19 @@ def prompt_contexts(c: Catalog) -> DataFrame:
 
 
 def gaps(c: Catalog, edges: DataFrame, parent: str, n: int = 20) -> DataFrame:
-    """Releases of each user's parents that the user neither holds nor wants; a page for each (user, parent)."""
-    held = c.collected.select("user_id", "release_id").distinct()
-    mine = held.join(edges, "release_id").select("user_id", parent).distinct()
-    missing = mine.join(edges, parent).join(held, ["user_id", "release_id"], "left_anti").join(c.wanted.select("user_id", "release_id"), ["user_id", "release_id"], "left_anti").distinct()
+    """Releases of each user's parents that the user neither holds nor wants; a page for each (user, parent).
+
+    A page lies within the parent's first n + h releases, where h counts those that the user holds or wants, so a user meets
+    that many and not all releases of a large parent.
+    """
+    keys = ["user_id", "release_id"]
+    known = c.collected.select(*keys).union(c.wanted.select(*keys)).distinct()
+    mine = c.collected.select(*keys).distinct().join(edges, "release_id").select("user_id", parent).distinct()
+    taken = known.join(edges, "release_id").groupBy("user_id", parent).agg(F.count("*").alias("h"))
+    asked = mine.join(taken, ["user_id", parent], "left").fillna(0, ["h"])
+    most = asked.groupBy(parent).agg(F.max("h").alias("most"))
+    ranked = edges.join(most, parent).withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy("release_id"))).where(F.col("place") <= n + F.col("most"))
+    missing = asked.join(ranked.select(parent, "release_id", "place"), parent).where(F.col("place") <= n + F.col("h")).join(known, keys, "left_anti")
     return top_n(missing.select("user_id", parent, "release_id"), ["user_id", parent], ["release_id"], n)
 
 
@@ -174,8 +183,10 @@ def cotag_self_join(c: Catalog) -> DataFrame:
 @query("j6_label_membership", """WITH r AS (SELECT release_id, list_sort(list(DISTINCT artist_id)) AS artist_ids FROM by_ GROUP BY 1) SELECT release_id, len(artist_ids) AS artists FROM r WHERE list_contains(artist_ids, 7)""")
 def label_membership(c: Catalog, artist_id: int = 7) -> DataFrame:
     """Membership by an array column instead of an id list."""
-    rows = c.by.groupBy("release_id").agg(F.collect_set("artist_id").alias("artist_ids"))
-    return rows.where(F.array_contains("artist_ids", artist_id)).select("release_id", F.size("artist_ids").cast("long").alias("artists"))
+    # The filter reaches the scan; only its releases are gathered.
+    asked = c.by.where(F.col("artist_id") == artist_id).select("release_id")
+    rows = c.by.join(asked, "release_id", "left_semi").groupBy("release_id").agg(F.collect_set("artist_id").alias("artist_ids"))
+    return rows.select("release_id", F.size("artist_ids").cast("long").alias("artists"))
 
 
 @query("j9_ambiguous_aliases", "SELECT k, string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY user_id) AS candidates FROM (SELECT k, user_id, row_number() OVER (PARTITION BY k ORDER BY user_id) AS rn FROM (SELECT DISTINCT k, user_id FROM ev WHERE event_type = 'signup')) WHERE rn <= 2 GROUP BY 1")

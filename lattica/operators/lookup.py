@@ -108,7 +108,7 @@ def taste_fingerprints(c: Catalog, least: int = 10) -> DataFrame:
     return items.withColumn("enough", F.col("items") >= least).join(best, "user_id", "left")
 
 
-@query("v7_rarity_histogram", "SELECT priority, count(*) AS n, CAST(floor(avg(year) * 100 + 0.5) AS BIGINT) AS mean_year FROM releases GROUP BY 1")
+@query("extra_priority_years", "SELECT priority, count(*) AS n, CAST(floor(avg(year) * 100 + 0.5) AS BIGINT) AS mean_year FROM releases GROUP BY 1")
 def priority_histogram(c: Catalog) -> DataFrame:
     return c.releases.groupBy("priority").agg(F.count("*").alias("n"), scaled(F.avg("year"), 2).alias("mean_year"))
 

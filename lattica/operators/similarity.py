@@ -134,22 +134,40 @@ def blind_spots(c: Catalog) -> DataFrame:
     return reach.join(mine, ["user_id", "style"], "left_anti")
 
 
-@query("m6_merged_recommendations", f"""WITH {_UNHELD}, {_LABEL_CAND}, sa AS (SELECT user_id, release_id, CAST(sum(n) AS DOUBLE) AS s FROM ua JOIN by_ USING (artist_id) GROUP BY 1, 2), sl AS (SELECT user_id, release_id, CAST(n AS DOUBLE) AS s FROM ul JOIN on_ USING (label_id)),
-    al AS (SELECT user_id, release_id, 0.35::DOUBLE * s / max(s) OVER (PARTITION BY user_id) AS w FROM sa UNION ALL SELECT user_id, release_id, 0.25::DOUBLE * s / max(s) OVER (PARTITION BY user_id) FROM sl),
-    cc AS (SELECT release_id, count(DISTINCT user_id) AS n FROM collected GROUP BY 1), mx AS (SELECT max(n) AS m FROM cc),
-    g AS (SELECT user_id, release_id, sum(w) AS w FROM al GROUP BY 1, 2)
+def blind_spot_releases(c: Catalog) -> DataFrame:
+    """Releases of the user's top artists in the user's blind spots, scored by how many of those artists reach the style."""
+    tops = top_held(c, c.by, "artist_id", 10).select("user_id", "artist_id")
+    asked = blind_spots(c).join(tops, "user_id")
+    return asked.join(c.by.join(c.styles, "release_id"), ["artist_id", "style"]).groupBy("user_id", "release_id").agg(F.max("artists").alias("score"))
+
+
+_POOL = "{name} AS (SELECT user_id, release_id, s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, release_id) AS rn FROM ({rows}) r WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = r.user_id AND h.release_id = r.release_id)) WHERE rn <= 50)"
+_POOLS = ", ".join(_POOL.format(name=n, rows=r) for n, r in (
+    ("pa", "SELECT user_id, release_id, sum(n) AS s FROM ua JOIN by_ USING (artist_id) WHERE (user_id, release_id) NOT IN (SELECT user_id, release_id FROM want) GROUP BY 1, 2"),
+    ("pl", "SELECT user_id, release_id, n AS s FROM ul JOIN on_ USING (label_id)"),
+    ("pb", "SELECT u.user_id, b.release_id, max(bl.artists) AS s FROM bl JOIN ua u USING (user_id) JOIN by_ b USING (artist_id) JOIN styles s ON s.release_id = b.release_id AND s.style = bl.style GROUP BY 1, 2"),
+))
+
+
+@query("m6_merged_recommendations", f"""WITH {_UNHELD}, {_LABEL_CAND}, ug AS (SELECT DISTINCT user_id, style FROM held JOIN styles USING (release_id)), reach AS (SELECT user_id, style, count(DISTINCT artist_id) AS artists FROM ua JOIN by_ USING (artist_id) JOIN styles USING (release_id) GROUP BY 1, 2),
+    bl AS (SELECT user_id, style, artists FROM reach r WHERE NOT EXISTS (SELECT 1 FROM ug WHERE ug.user_id = r.user_id AND ug.style = r.style)), {_POOLS},
+    al AS ({" UNION ALL ".join(f"SELECT user_id, release_id, {w}::DOUBLE * s / max(s) OVER (PARTITION BY user_id) AS w FROM {t}" for t, w in (("pa", SIGNALS["artist"]), ("pl", SIGNALS["label"]), ("pb", SIGNALS["blindspot"])))}),
+    cc AS (SELECT release_id, count(DISTINCT user_id) AS n FROM collected GROUP BY 1), mx AS (SELECT max(n) AS m FROM cc), g AS (SELECT user_id, release_id, sum(w) AS w FROM al GROUP BY 1, 2)
     SELECT user_id, release_id, score FROM (SELECT user_id, release_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, release_id) AS rn FROM
-        (SELECT g.user_id, g.release_id, CAST(floor(round(g.w + 0.15::DOUBLE * (1 - coalesce(cc.n, 0) / m), 9) * 10000 + 0.5) AS BIGINT) AS score FROM g LEFT JOIN cc ON g.release_id = cc.release_id, mx WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = g.user_id AND h.release_id = g.release_id))) WHERE rn <= 20""")
-def merged_recommendations(c: Catalog, n: int = 20) -> DataFrame:
-    """Signals normalised by their maximum for the user, weighted, with a bonus for obscurity."""
-    artist = top_held(c, c.by, "artist_id", 10).join(c.by, "artist_id").groupBy("user_id", "release_id").agg(F.sum("n").cast("double").alias("s"))
-    label = top_held(c, c.on, "label_id", 10).join(c.on, "label_id").select("user_id", "release_id", F.col("n").cast("double").alias("s"))
-    best = F.max("s").over(Window.partitionBy("user_id"))
-    parts = [df.select("user_id", "release_id", (SIGNALS[k] * F.col("s") / best).alias("w")) for k, df in (("artist", artist), ("label", label))]
-    merged = parts[0].unionByName(parts[1]).groupBy("user_id", "release_id").agg(F.sum("w").alias("w"))
+        (SELECT g.user_id, g.release_id, CAST(floor(round(g.w + 0.15::DOUBLE * (1 - coalesce(cc.n, 0) / m), 9) * 10000 + 0.5) AS BIGINT) AS score FROM g LEFT JOIN cc ON g.release_id = cc.release_id, mx)) WHERE rn <= 20""")
+def merged_recommendations(c: Catalog, n: int = 20, pool: int = 50) -> DataFrame:
+    """Three signals, each a pool of its best for the user, normalised by the pool's maximum, weighted, with a bonus for obscurity.
+
+    Held rows go before a pool is cut, and only pools are windowed and merged, so the merge meets ``pool`` rows of each user and signal.
+    """
+    wide = {"artist": user_recommendations(c, pool), "label": label_affinity(c, pool)}
+    blind = blind_spot_releases(c).join(c.collected.select("user_id", "release_id"), ["user_id", "release_id"], "left_anti")
+    wide["blindspot"] = top_n(blind, ["user_id"], [F.desc("score"), "release_id"], pool)
+    best = F.max("score").over(Window.partitionBy("user_id"))
+    parts = [df.select("user_id", "release_id", (SIGNALS[k] * F.col("score") / best).alias("w")) for k, df in wide.items()]
+    merged = reduce(DataFrame.unionByName, parts).groupBy("user_id", "release_id").agg(F.sum("w").alias("w"))
     counts = c.collected.groupBy("release_id").agg(F.count_distinct("user_id").alias("c"))
-    most = counts.agg(F.max("c").alias("m"))
-    rows = merged.join(c.collected.select("user_id", "release_id"), ["user_id", "release_id"], "left_anti").join(counts, "release_id", "left").join(F.broadcast(most))
+    rows = merged.join(counts, "release_id", "left").join(F.broadcast(counts.agg(F.max("c").alias("m"))))
     score = scaled(F.round(F.col("w") + OBSCURITY * (1 - F.coalesce("c", F.lit(0)) / F.col("m")), 9), 4)
     return top_n(rows.select("user_id", "release_id", score.alias("score")), ["user_id"], [F.desc("score"), "release_id"], n)
 

@@ -266,8 +266,8 @@ def confirmed_editions(c: Catalog) -> DataFrame:
 def precision_recall(c: Catalog, cut: str = "2024-01-20", k: int = 10) -> DataFrame:
     """Replay of the popularity baseline over a split in time: what precedes the cut is all it may see.
 
-    Each user's list is the k most popular releases that the user does not hold. Only the k + (most held) most popular can be on a list, so
-    that bounded prefix is what users meet, not the whole catalog.
+    Each user's list is the k most popular releases that the user does not hold: it lies within the first k + h, where h is what the user
+    holds. So a user meets that many ranks, by a join on the rank; all users together meet k each and the training rows once.
     """
     at = F.lit(cut).cast("timestamp_ntz")
     keys = ["user_id", "release_id"]
@@ -275,8 +275,9 @@ def precision_recall(c: Catalog, cut: str = "2024-01-20", k: int = 10) -> DataFr
     test = c.collected.where(F.col("date_added") >= at).select(*keys).distinct().join(train, keys, "left_anti")
     most = train.groupBy("user_id").agg(F.count("*").alias("h")).agg(F.coalesce(F.max("h"), F.lit(0))).first()[0]
     popular = train.groupBy("release_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "release_id").limit(k + most)
-    listed = popular.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "release_id"))).alias("listed"))
-    users = test.select("user_id").distinct().join(F.broadcast(listed)).select("user_id", F.posexplode("listed").alias("pos", "x")).select("user_id", "pos", F.col("x.release_id").alias("release_id"))
+    ranked = popular.select("release_id", F.row_number().over(Window.orderBy(F.desc("n"), "release_id")).alias("pos"))
+    own = test.select("user_id").distinct().join(train.groupBy("user_id").agg(F.count("*").alias("h")), "user_id", "left").fillna(0, ["h"])
+    users = own.select("user_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.col("h")).cast("int"))).alias("pos")).join(ranked, "pos")
     rec = top_n(users.join(train, keys, "left_anti"), ["user_id"], ["pos"], k).select(*keys, F.lit(1).alias("hit"))
     out = test.join(rec, keys, "left").groupBy("user_id").agg(F.count("*").alias("held_out"), F.count("hit").alias("hits"))
     ppm = lambda x: F.floor(x * 10**6 + 0.5).cast("long")

@@ -95,12 +95,12 @@ def collection_evolution(c: Catalog) -> DataFrame:
     return one(c.genres, "genre").unionByName(one(c.styles, "style")).select("user_id", "year", "kind", "name", "n")
 
 
-@query("t9_taste_drift", """SELECT user_id, month, genre, n FROM (SELECT user_id, strftime(date_added, '%Y-%m-%d') AS month, genre, count(*) AS n, row_number() OVER (PARTITION BY user_id, strftime(date_added, '%Y-%m-%d') ORDER BY count(*) DESC, genre) AS rn
+@query("t9_taste_drift", """SELECT user_id, day, genre, n FROM (SELECT user_id, strftime(date_added, '%Y-%m-%d') AS day, genre, count(*) AS n, row_number() OVER (PARTITION BY user_id, strftime(date_added, '%Y-%m-%d') ORDER BY count(*) DESC, genre) AS rn
     FROM collected c JOIN genres g ON c.release_id = g.release_id GROUP BY 1, 2, 3) WHERE rn = 1""")
 def taste_drift(c: Catalog) -> DataFrame:
     """Top genre of each period of ``date_added``; the test events span one month, so the period is the day."""
-    n = c.collected.join(c.genres, "release_id").groupBy("user_id", F.date_format("date_added", "yyyy-MM-dd").alias("month"), "genre").agg(F.count("*").alias("n"))
-    return top_n(n, ["user_id", "month"], [F.desc("n"), "genre"], 1)
+    n = c.collected.join(c.genres, "release_id").groupBy("user_id", F.date_format("date_added", "yyyy-MM-dd").alias("day"), "genre").agg(F.count("*").alias("n"))
+    return top_n(n, ["user_id", "day"], [F.desc("n"), "genre"], 1)
 
 
 @query("t10_person_timeline", "SELECT person_id, year, category, count(*) AS n FROM credits JOIN releases USING (release_id) WHERE year > 0 GROUP BY 1, 2, 3")

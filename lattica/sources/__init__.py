@@ -102,7 +102,7 @@ def collection_snapshots(c: Catalog) -> DataFrame:
     return snapshot_hash(c.collected.select("user_id", "release_id").distinct(), "user_id", "release_id")
 
 
-@query("s21_user_export", "SELECT section, count(*) AS lines FROM (SELECT 'collection' AS section FROM collected UNION ALL SELECT 'wants' FROM wanted UNION ALL SELECT 'events' FROM ev) GROUP BY 1")
+@query("extra_export_counts", "SELECT section, count(*) AS lines FROM (SELECT 'collection' AS section FROM collected UNION ALL SELECT 'wants' FROM wanted UNION ALL SELECT 'events' FROM ev) GROUP BY 1")
 def user_export(c: Catalog) -> DataFrame:
     lines = export_sections([("collection", c.collected), ("wants", c.wanted), ("events", c.events)])
     return lines.groupBy("section").agg(F.count("line").alias("lines"))

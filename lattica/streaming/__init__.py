@@ -44,7 +44,8 @@ def validated(events: DataFrame) -> DataFrame:
 def append_once(batch: DataFrame, target: str, keys: list[str]) -> None:
     """Append the rows whose key is not stored yet: idempotent however late a retry comes, which a watermark is not.
 
-    Only the months that the batch touches are read, and of them the keys alone.
+    An event may come back under another month, so the keys of all months are read (of each file the key columns alone), less those outside
+    the batch's range of keys, which the files' statistics rule out where keys grow with time.
     """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
@@ -54,6 +55,9 @@ def append_once(batch: DataFrame, target: str, keys: list[str]) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     else:
+        low, high = fresh.agg(F.min(keys[0]), F.max(keys[0])).first()
+        if low is not None:
+            stored = stored.where(F.col(keys[0]).between(F.lit(low), F.lit(high)))
         fresh = fresh.join(stored.select(*keys), keys, "left_anti")
     fresh.write.mode("append").partitionBy("month").parquet(target)
 
@@ -102,14 +106,14 @@ def _run(c: Catalog, df: DataFrame, mode: str) -> DataFrame:
     return c.spark.read.parquet(target)
 
 
-@query("x11_tumbling_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS at, event_type, count(*) AS n FROM ev GROUP BY 1, 2")
+@query("extra_tumbling_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS at, event_type, count(*) AS n FROM ev GROUP BY 1, 2")
 def tumbling_counts(c: Catalog) -> DataFrame:
     """Extension: hourly counts with a watermark, complete at the end of the stream."""
     out = _run(c, windowed(_events(c), "1 hour", None, "1 day"), "complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("at"), "event_type", "n")
 
 
-@query("x7_outcomes", "SELECT o.event_id, count(i.event_id) AS views FROM ev o LEFT JOIN ev i ON i.event_type = 'view' AND i.k = o.k AND i.ts <= o.ts AND i.ts > o.ts - INTERVAL 1 DAY WHERE o.event_type = 'purchase' GROUP BY 1")
+@query("extra_outcome_views", "SELECT o.event_id, count(i.event_id) AS views FROM ev o LEFT JOIN ev i ON i.event_type = 'view' AND i.k = o.k AND i.ts <= o.ts AND i.ts > o.ts - INTERVAL 1 DAY WHERE o.event_type = 'purchase' GROUP BY 1")
 def outcomes(c: Catalog) -> DataFrame:
     """Extension: views of the item in the day before each purchase. Days are join keys, so no purchase meets all views."""
     day = F.date_trunc("day", "ts").cast("date")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.functions import page, scaled, share_below, top_n
+from lattica.functions import page, scaled, top_n
 from lattica.operators.insights import shared_personnel
 from lattica.operators.rarity import composed, percentiles
 from lattica.operators.similarity import collaborator_distances, similar_labels
@@ -39,7 +39,6 @@ def test_scaled_rounds_half_up(spark):
 def test_share_below_counts_positive_values_only(spark):
     df = spark.createDataFrame([(1, 5), (2, 5), (3, 10), (4, 0), (5, None)], "k int, v int")
     want = {1: 0.0, 2: 0.0, 3: 2 / 3, 4: 0.0, 5: 0.0}
-    assert {r.k: r.s for r in df.withColumn("s", share_below("v")).collect()} == want
     assert {r.k: r.below for r in percentiles(df, "v").collect()} == want
 
 
