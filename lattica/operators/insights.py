@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names, scaled, top_n
 from ..plans import Catalog, query
 from .explore import LONGEVITY, expand, label_longevity
+from .similarity import first_releases
 
 PLACEHOLDER = r"^(?is)(not on label.*|.*000000[0-9])$"
 
@@ -136,17 +137,12 @@ def prompt_contexts(c: Catalog) -> DataFrame:
 def gaps(c: Catalog, edges: DataFrame, parent: str, n: int = 20) -> DataFrame:
     """Releases of each user's parents that the user neither holds nor wants; a page for each (user, parent).
 
-    A page lies within the parent's first n + h releases, where h counts those that the user holds or wants, so a user meets
-    that many and not all releases of a large parent.
+    A page lies within the parent's first n + h releases, where h counts those that the user holds or wants.
     """
     keys = ["user_id", "release_id"]
     known = c.collected.select(*keys).union(c.wanted.select(*keys)).distinct()
     mine = c.collected.select(*keys).distinct().join(edges, "release_id").select("user_id", parent).distinct()
-    taken = known.join(edges, "release_id").groupBy("user_id", parent).agg(F.count("*").alias("h"))
-    asked = mine.join(taken, ["user_id", parent], "left").fillna(0, ["h"])
-    most = asked.groupBy(parent).agg(F.max("h").alias("most"))
-    ranked = edges.join(most, parent).withColumn("place", F.row_number().over(Window.partitionBy(parent).orderBy("release_id"))).where(F.col("place") <= n + F.col("most"))
-    missing = asked.join(ranked.select(parent, "release_id", "place"), parent).where(F.col("place") <= n + F.col("h")).join(known, keys, "left_anti")
+    missing = first_releases(edges, parent, mine, known, n).join(known, keys, "left_anti")
     return top_n(missing.select("user_id", parent, "release_id"), ["user_id", parent], ["release_id"], n)
 
 

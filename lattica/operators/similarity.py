@@ -102,17 +102,39 @@ def top_held(c: Catalog, edges: DataFrame, key: str, n: int) -> DataFrame:
     return top_n(counts, ["user_id"], [F.desc("n"), key], n)
 
 
-def unheld(c: Catalog, scored: DataFrame) -> DataFrame:
-    """Without what the user holds or wants."""
-    keys = ["user_id", "release_id"]
-    return scored.join(c.collected.select(*keys), keys, "left_anti").join(c.wanted.select(*keys), keys, "left_anti")
+def first_releases(edges: DataFrame, key: str, asked: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """``asked`` (user_id, key, ..) with the first n + h releases of its key by id, where h are ``known`` to the user: n unknown ones are among them.
+
+    So a user meets that many releases of a key, however many it has.
+    """
+    taken = known.join(edges, "release_id").join(asked.select("user_id", key), ["user_id", key], "left_semi").groupBy("user_id", key).agg(F.count("*").alias("__h"))
+    asked = asked.join(taken, ["user_id", key], "left").fillna(0, ["__h"])
+    most = asked.groupBy(key).agg(F.max("__h").alias("__most"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("release_id"))
+    ranked = edges.join(most, key).withColumn("__place", place).where(F.col("__place") <= n + F.col("__most")).select(key, "release_id", "__place")
+    return asked.join(ranked, key).where(F.col("__place") <= n + F.col("__h")).drop("__place", "__h")
 
 
 @query("m8_user_recommendations", f"""WITH {_UNHELD} SELECT user_id, release_id, score FROM (SELECT user_id, release_id, CAST(sum(n) AS BIGINT) AS score, row_number() OVER (PARTITION BY user_id ORDER BY sum(n) DESC, release_id) AS rn FROM ua JOIN by_ b USING (artist_id)
     WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = ua.user_id AND h.release_id = b.release_id) AND NOT EXISTS (SELECT 1 FROM want w WHERE w.user_id = ua.user_id AND w.release_id = b.release_id) GROUP BY 1, 2) WHERE rn <= 20""")
 def user_recommendations(c: Catalog, n: int = 20) -> DataFrame:
-    scores = top_held(c, c.by, "artist_id", 10).join(c.by, "artist_id").groupBy("user_id", "release_id").agg(F.sum("n").alias("score"))
-    return top_n(unheld(c, scores), ["user_id"], [F.desc("score"), "release_id"], n)
+    """The best n releases of each user's top artists by the sum of their weights.
+
+    A release with one top artist is on the list only if it is among that artist's first n unheld ones, so of each artist a user meets n + h
+    releases, where h are held or wanted. Releases with several top artists are found from pairs of artists and summed exactly.
+    """
+    keys = ["user_id", "release_id"]
+    tops = top_held(c, c.by, "artist_id", 10)
+    known = c.collected.select(*keys).union(c.wanted.select(*keys)).distinct()
+    alone = first_releases(c.by, "artist_id", tops, known, n).select(*keys, F.col("n").alias("score"))
+    other = lambda df: df.select(*(F.col(x).alias("other_id" if x == "artist_id" else x) for x in df.columns))
+    pairs = c.by.join(other(c.by), "release_id").where("artist_id < other_id")
+    asked = tops.drop("n").join(other(tops.drop("n")), "user_id").where("artist_id < other_id")
+    several = asked.join(pairs, ["artist_id", "other_id"]).select(*keys).distinct()
+    summed = several.join(c.by, "release_id").join(tops, ["user_id", "artist_id"]).groupBy(*keys).agg(F.sum("n").alias("score"))
+    # Where a release is in both, the sum is the greater one.
+    scores = alone.unionByName(summed).groupBy(*keys).agg(F.max("score").alias("score"))
+    return top_n(scores.join(known, keys, "left_anti"), ["user_id"], [F.desc("score"), "release_id"], n)
 
 
 _LABEL_CAND = """ul AS (SELECT user_id, label_id, n FROM (SELECT user_id, label_id, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, label_id) AS rn FROM held JOIN on_ USING (release_id) GROUP BY 1, 2) WHERE rn <= 10)"""
@@ -120,8 +142,9 @@ _LABEL_CAND = """ul AS (SELECT user_id, label_id, n FROM (SELECT user_id, label_
 
 @query("m9_label_affinity", f"""WITH {_UNHELD}, {_LABEL_CAND} SELECT user_id, release_id, score FROM (SELECT user_id, release_id, n AS score, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, release_id) AS rn FROM ul JOIN on_ o USING (label_id) WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = ul.user_id AND h.release_id = o.release_id)) WHERE rn <= 20""")
 def label_affinity(c: Catalog, n: int = 20) -> DataFrame:
-    scores = top_held(c, c.on, "label_id", 10).join(c.on, "label_id").select("user_id", "release_id", F.col("n").alias("score"))
-    rest = scores.join(c.collected.select("user_id", "release_id"), ["user_id", "release_id"], "left_anti")
+    known = c.collected.select("user_id", "release_id").distinct()
+    scores = first_releases(c.on, "label_id", top_held(c, c.on, "label_id", 10), known, n).select("user_id", "release_id", F.col("n").alias("score"))
+    rest = scores.join(known, ["user_id", "release_id"], "left_anti")
     return top_n(rest, ["user_id"], [F.desc("score"), "release_id"], n)
 
 
@@ -129,7 +152,9 @@ def label_affinity(c: Catalog, n: int = 20) -> DataFrame:
     SELECT user_id, style, artists FROM reach r WHERE NOT EXISTS (SELECT 1 FROM ug WHERE ug.user_id = r.user_id AND ug.style = r.style)""")
 def blind_spots(c: Catalog) -> DataFrame:
     """Styles that the user's top artists reach and the user holds none of."""
-    reach = top_held(c, c.by, "artist_id", 10).select("user_id", "artist_id").join(c.by, "artist_id").join(c.styles, "release_id").groupBy("user_id", "style").agg(F.count_distinct("artist_id").alias("artists"))
+    # Styles of an artist are made distinct before users meet them.
+    of = c.by.join(c.styles, "release_id").select("artist_id", "style").distinct()
+    reach = top_held(c, c.by, "artist_id", 10).select("user_id", "artist_id").join(of, "artist_id").groupBy("user_id", "style").agg(F.count("*").alias("artists"))
     mine = c.collected.select("user_id", "release_id").join(c.styles, "release_id").select("user_id", "style")
     return reach.join(mine, ["user_id", "style"], "left_anti")
 
