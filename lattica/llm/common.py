@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The Scratch objects made inside ``scratch_tables``.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch_tables():
+    """The Scratch objects that operators make inside, as a list: their caller may remove them once the results are written."""
+    found: list = []
+    token = _made.set(found)
+    try:
+        yield found
+    finally:
+        _made.reset(token)
+
+
 class Scratch:
     """Written tables that cut lineage; they live in the shared folder and survive lost executors."""
 
@@ -45,6 +61,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and read it back: later plans start from the files."""
@@ -57,10 +75,16 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later plan reads."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(table._scratch_path)
+
+    def remove(self) -> None:
+        """Delete all its tables."""
+        self._delete(self.root)
+
+    def _delete(self, place: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: Column | str) -> Column:

@@ -8,7 +8,8 @@ gathers into fewer blocks, until one block a source is left. Its last documents
 to the source's words.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last in order; a source of size 0 has target
-0 and takes nothing; repeated rows are documents of their own; an empty table gives an empty result. Blocks,
+0 and takes nothing; repeated rows are documents of their own; a null ``doc_id`` is a row like any other; columns of any names pass through
+``take``; long texts count by their words alone; an empty table gives an empty result. Blocks,
 orders and directions follow from hashes, so reruns agree. Sources are taken to be few enough to be ordered in one
 task (one row each; ids in the millions are fine).
 """
@@ -156,21 +157,19 @@ def take(docs: DataFrame, **options) -> DataFrame:
     text = text_of("text")
     key = F.xxhash64("doc_id", "text", F.coalesce("source", F.lit("")), F.col("source").isNull())
     sized = docs.select(key.alias("doc_id"), "source", F.size(words_of(text)).cast("long").alias("size"))
-    plan = plan_mix(sized, **options).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.max("size").alias("__size"))
-    plan = plan.withColumnRenamed("doc_id", "__plan_key")
-    df = docs.withColumn("__key", key).join(plan.hint("shuffle_hash"), F.col("__key") == F.col("__plan_key"))
-    # Rows that repeat share their copies evenly; what is left over goes to one of them by a first-come number.
-    return _deal(df).drop("__key", "__plan_key", "__copies", "__rows", "__size")
+    plan = plan_mix(sized, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).withColumnRenamed("doc_id", "plan_key")
+    # The columns go along as one, so that none clashes with a name used here.
+    df = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(plan.hint("shuffle_hash"), F.col("key") == F.col("plan_key"))
+    return _deal(df).select("row.*")
 
 
 def _deal(df: DataFrame) -> DataFrame:
-    once = df.where("__rows = 1").withColumn("__n", F.col("__copies").cast("int"))
-    many = df.where("__rows > 1")
-    number = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
-    shared = many.withColumn("__i", number)
-    shared = shared.withColumn("__n", (F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__i") <= F.col("__copies") % F.col("__rows")).cast("int")).cast("int")).drop("__i")
-    both = once.unionByName(shared).where("__n > 0")
-    return both.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__c", "__n")
+    """Rows that repeat share their copies evenly; what is left over goes to the first of them by a running number."""
+    once = df.where("rows = 1").withColumn("n", F.col("copies").cast("int"))
+    many = df.where("rows > 1").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("plan_key")))
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("i") <= F.col("copies") % F.col("rows")).cast("int")
+    both = once.unionByName(many.withColumn("n", share.cast("int")).drop("i"))
+    return both.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
 
 
 def mix_digest(plan: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 Base rules (host, path) decide where one fits; the longest wins. Their decisions are the labels of the method, which judges the
 rest. Two trees are grown over the paths, one for all hosts together and one for each host: level by level, segments that
 vary become wildcards. Block rates go down the trees, first the common one, then the host's own: siblings whose labelled rates do not
-differ (two-proportion z test, in order of rate) merge into one branch; a branch that does not differ from what its parents
-lead to expect keeps that, and one that differs takes its own rate, smoothed towards it. A template whose rate reaches ``reject`` is blocked.
+differ (two-proportion z test, in order of rate) merge into one branch; a branch that does not differ from what came down to it
+keeps that, and one that differs takes its own rate, smoothed towards it. A template whose rate reaches ``reject`` is blocked.
 
 Trees have at most ``depth`` levels: what follows is one segment of the last. A parent has at most 1 / ``share`` literal
 children and a wildcard, so siblings are ordered in small windows.
@@ -70,23 +70,26 @@ def _templates(paths: DataFrame, scratch: Scratch, scope: list[str], name: str,
 
 
 def _level(leaves: DataFrame, parent: list[str], child: list[str], weight: float, z: float) -> DataFrame:
-    """``leaves`` with ``rate`` moved by the branches ``child`` below ``parent``."""
-    differ = lambda p, q, over: F.abs(p - q) >= z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.01)) * over)
-    branch = leaves.groupBy(*parent, *child).agg(F.sum("b").alias("b"), F.sum("l").alias("l"), F.sum(F.col("l") * F.col("rate")).alias("e")).where("l > 0").withColumn("r", F.col("b") / F.col("l"))
-    if parent and child:
+    """``leaves`` with ``rate`` moved by the branches ``child`` below ``parent``, or, without ``child``, by the hosts as wholes.
+
+    A branch's rate replaces the one that a leaf has so far where the two differ; a whole host's moves its leaves where its labels
+    differ from what their leaves expect, as labels in one branch say little of another.
+    """
+    differ = lambda expected, found, over: F.abs(expected - found) >= z * F.sqrt(F.greatest(expected * (1 - expected), F.lit(0.01)) * over)
+    keys = [*parent, *child]
+    branch = leaves.groupBy(*keys).agg(F.sum("b").alias("own_b"), F.sum("l").alias("own_l"), F.sum(F.col("l") * F.col("rate")).alias("own_e")).where("own_l > 0").withColumn("r", F.col("own_b") / F.col("own_l"))
+    if child:
         order = Window.partitionBy(*parent).orderBy("r", *child)
-        b, n = (F.lag(x).over(order) for x in "bl")
-        pooled = (F.col("b") + b) / (F.col("l") + n)
-        apart = F.abs(F.col("r") - b / n) >= z * F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) * (1 / F.col("l") + 1 / n))
+        b, n = F.lag("own_b").over(order), F.lag("own_l").over(order)
+        pooled = (F.col("own_b") + b) / (F.col("own_l") + n)
+        apart = F.abs(F.col("r") - b / n) >= z * F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) * (1 / F.col("own_l") + 1 / n))
         branch = branch.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("cluster", F.sum("apart").over(order))
-        own = Window.partitionBy(*parent, "cluster")
-        branch = branch.select(*parent, *child, *(F.sum(x).over(own).alias(x) for x in "ble"))
-    expected, found = F.col("e") / F.col("l"), F.col("b") / F.col("l")
-    branch = branch.where(differ(expected, found, 1 / F.col("l"))).select(*parent, *child, F.col("b").alias("own_b"), F.col("l").alias("own_l"))
-    keys = [*parent, *child]
-    moved = leaves.join(branch, keys, "left")
-    rate = F.when(F.col("own_l").isNotNull(), (F.col("own_b") + weight * F.col("rate")) / (F.col("own_l") + weight)).otherwise(F.col("rate"))
-    return moved.withColumn("rate", rate).drop("own_b", "own_l")
+        merged = Window.partitionBy(*parent, "cluster")
+        branch = branch.select(*keys, *(F.sum(x).over(merged).alias(x) for x in ("own_b", "own_l", "own_e")))
+    expected = F.col("rate") if child else F.col("own_e") / F.col("own_l")
+    moves = F.coalesce(differ(expected, F.col("own_b") / F.col("own_l"), 1 / F.col("own_l")), F.lit(False))
+    smoothed = (F.col("own_b") + weight * F.col("rate")) / (F.col("own_l") + weight)
+    return leaves.join(branch.drop("r"), keys, "left").withColumn("rate", F.when(moves, smoothed).otherwise(F.col("rate"))).drop("own_b", "own_l", "own_e")
 
 
 def template_rates(paths: DataFrame, scratch: Scratch, depth: int = 8, support: int = 5, share: float = 0.02, weight: float = 4.0, z: float = 1.96) -> DataFrame:
