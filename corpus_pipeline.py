@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the columns of documents; the
 last returns the packing. Stage by stage: the classifier's rejects go; repeated passages are cut out of texts (a text that
-consists of repeated passages alone goes, so an exact copy goes here or is left whole for the next stage); of each group of near-duplicates the document with the least id stays; the mix takes documents zero,
-one or two times; what is left is tokenized and packed. SQL can't express the stages, so there is no oracle; tests compare them
-with plain versions.
+consists of repeated passages alone goes, so an exact copy goes here or is left whole for the next stage); of each group of
+near-duplicates the document with the least id stays; the mix takes documents zero, one or two times; what is left is tokenized and
+packed. SQL can't express the stages, so there is no oracle; tests hold line dedup, near-duplicates and packing against plain versions, and
+the classifier and the mix against what they promise.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.classifier import keep_good
-from lattica.llm.common import Scratch, read_table
+from lattica.llm.common import Scratch, read_table, scratch_tables
 from lattica.llm.line_dedup import WORDED, dedup_lines
 from lattica.llm.minhash import near_duplicates
 from lattica.llm.mixing import take
@@ -56,9 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again by the next."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again by the next.
+
+    What a stage wrote for itself goes when its rows are written, and its rows go when the next stage's are.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scratch_tables() as used:
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        for tables in used:
+            tables.remove()
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
