@@ -1,4 +1,4 @@
 """Importing this package registers the catalog queries."""
 
-from . import collecting, discover, entities, explore, fit, insights, lookup, profiles, rarity, search, similarity, temporal, trends  # noqa: F401
+from . import collecting, compositions, discover, entities, explore, fit, insights, lookup, profiles, rarity, search, similarity, temporal, trends  # noqa: F401
 from .. import sources, streaming  # noqa: F401
