@@ -95,3 +95,12 @@ def test_owned_copies(spark):
     rows = [(1, 1, day(1), 5.0), (1, 2, day(1), 5.0), (1, 2, day(25), 5.0), (1, 3, day(25), 5.0), (1, 4, day(1), 1.0), (1, None, day(1), 5.0)]
     got = {r.release_id: (r.state, r.acquired) for r in owned_copies(catalog(spark, [(1, 1, 1, 1990)], held=rows)).collect()}
     assert got == {1: ("unchanged", "2024-01-01"), 2: ("updated", "2024-01-25"), 3: ("inserted", "2024-01-25"), 4: ("unchanged", "2024-01-01")}
+
+
+def test_greedy_crates(spark):
+    from lattica.operators.crates import greedy, ranked
+
+    pool = spark.createDataFrame([(1, 10, [1, 2, 3], 9), (1, 11, [3, 4], 5), (1, 12, [4, 5], 5), (1, 13, [1, 2], 1), (2, 10, [], 1)], "user_id bigint, master_id bigint, units array<bigint>, n bigint")
+    # 10 adds three; then 12 adds two and 11 one; after that nothing adds any.
+    assert sorted(tuple(r) for r in greedy(pool, 5).collect()) == [(1, "10|12", 5), (2, "", 0)]
+    assert sorted(tuple(r) for r in ranked(pool, "n", 2).collect()) == [(1, "10|11", 4), (2, "10", 0)]
