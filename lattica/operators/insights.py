@@ -199,28 +199,28 @@ def shared_credits(c: Catalog) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count_distinct("release_id").alias("releases"))
 
 
-def shared_personnel(c: Catalog, asked: str | None = None, least: int = 3, block: int = 1000) -> DataFrame:
+def shared_personnel(c: Catalog, asked: str | None = None, least: int = 3, block: int = 1000, rows_each: int = 1_000_000) -> DataFrame:
     """Masters a < b that share at least ``least`` (person, category) pairs; ``asked`` is a condition on the ``master_id`` of a.
 
-    A (person, category) with many masters is dealt out: its left side by a hash over blocks of about ``block`` masters, its right side to all of them.
+    Each master meets lists of masters, not single ones, and the lists are shuffled to where their entries are counted.
+    Masters are dealt into parts of about ``rows_each`` rows, which bound a list.
+    A (person, category) with many masters is dealt out: its left side by a hash over blocks of about ``block`` masters, its lists to all of them.
     """
     key = ["person_id", "category"]
     rows = c.credits.join(c.masters, "release_id").select("master_id", *key).distinct()
     hot = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
-    rows = rows.join(hot, key)
-    left = (rows.where(asked) if asked else rows).select(F.col("master_id").alias("a"), *key, F.pmod(F.xxhash64("master_id"), "salts").cast("int").alias("salt"))
-    right = rows.select(F.col("master_id").alias("b"), *key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, [*key, "salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-
-
-@query("j7_shared_personnel", """SELECT a.master_id AS a, b.master_id AS b, count(*) AS shared FROM (SELECT DISTINCT master_id, person_id, category FROM credits JOIN masters USING (release_id) WHERE master_id % 20 = 0) a JOIN (SELECT DISTINCT master_id, person_id, category FROM credits JOIN masters USING (release_id) WHERE master_id % 20 = 0) b
-    ON a.person_id = b.person_id AND a.category = b.category AND a.master_id < b.master_id WHERE a.master_id % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 3""".replace(" WHERE master_id % 20 = 0", ""))
-def asked_shared_personnel(c: Catalog) -> DataFrame:
-    """The query set of this SQL: for every hundredth master, later masters."""
-    return shared_personnel(c, "master_id % 100 = 0")
-
-
-@query("j7_shared_personnel_all", """WITH r AS (SELECT DISTINCT master_id, person_id, category FROM credits JOIN masters USING (release_id))
+    parts = rows.agg(F.ceil(F.count("*") / rows_each).cast("int").alias("parts"))
+    left = rows.where(asked) if asked else rows
+    left = left.join(hot, key).select(F.col("master_id").alias("a"), *key, F.pmod(F.xxhash64("master_id"), "salts").cast("int").alias("salt"))
+    dealt = rows.join(F.broadcast(parts)).withColumn("part", F.pmod(F.xxhash64("master_id", F.lit(1)), "parts").cast("int"))
+    lists = dealt.groupBy(*key, "part").agg(F.collect_list("master_id").alias("list")).join(hot, key)
+    lists = lists.select(*key, "part", "list", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    # Lists are shuffled, not pairs; the part of b is a function of b, so its rows of a meet in one place and are counted there.
+    met = left.join(lists, [*key, "salt"]).repartition("a", "part").select("a", "part", F.explode("list").alias("b")).where("a < b")
+    return met.groupBy("a", "part", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).drop("part")
+
+
+@query("j7_shared_personnel", """WITH r AS (SELECT DISTINCT master_id, person_id, category FROM credits JOIN masters USING (release_id))
     SELECT a.master_id AS a, b.master_id AS b, count(*) AS shared FROM r a JOIN r b ON a.person_id = b.person_id AND a.category = b.category AND a.master_id < b.master_id GROUP BY 1, 2 HAVING count(*) >= 3""")
 def all_shared_personnel(c: Catalog) -> DataFrame:
     return shared_personnel(c)
