@@ -1,4 +1,4 @@
 """Importing this package registers the catalog queries."""
 
-from . import collecting, compositions, crates, discover, entities, explore, fit, folds, insights, lookup, profiles, rarity, search, similarity, temporal, trends  # noqa: F401
+from . import collecting, compositions, crates, discover, entities, explore, fit, folds, inscriptions, insights, lookup, profiles, rarity, scopes, search, similarity, temporal, trends  # noqa: F401
 from .. import sources, streaming  # noqa: F401
