@@ -106,11 +106,11 @@ def hubs(c: Catalog, limit: int = 100) -> DataFrame:
     sc AS (SELECT t.user_id, h.type, h.id, h.witness, CASE WHEN h.type = 'genre' THEN coalesce(sh.share, 1.5) WHEN h.type = 'style' THEN CASE WHEN us.style IS NULL THEN 1.5 ELSE 0.0 END ELSE 0.5 END AS s,
         CASE WHEN (h.type = 'genre' AND sh.share IS NULL) OR (h.type = 'style' AND us.style IS NULL) THEN 'blind_spot_boost' ELSE 'graph_proximity' END AS reason FROM top t JOIN hubs h USING (hub) LEFT JOIN sh ON sh.user_id = t.user_id AND sh.genre = h.id AND h.type = 'genre' LEFT JOIN us ON us.user_id = t.user_id AND us.style = h.id AND h.type = 'style')
     SELECT user_id, type, id, score, reason, path FROM (SELECT user_id, type, id, CAST(floor(round(s, 9) * 10000 + 0.5) AS BIGINT) AS score, reason, coalesce(witness, '') || '>' || id AS path, row_number() OVER (PARTITION BY user_id ORDER BY CAST(floor(round(s, 9) * 10000 + 0.5) AS BIGINT) DESC, type, id) AS rn FROM sc) WHERE rn <= 10""")
-def scored_discoveries(c: Catalog, limit: int = 10) -> DataFrame:
-    """What lies near each user's first genre, scored: blind spots 1 x 1.5, known genres by their share, artists and labels 1 / distance."""
+def scored_discoveries(c: Catalog, limit: int = 10, start: DataFrame | None = None) -> DataFrame:
+    """What lies near each user's first genre, or near its hub of ``start`` (user_id, hub), scored: blind spots 1 x 1.5, known genres by their share, artists and labels 1 / distance."""
     held = c.collected.select("user_id", "release_id").distinct()
     counts = held.join(c.genres, "release_id").groupBy("user_id", "genre").agg(F.count("*").alias("n"))
-    first = top_n(counts, ["user_id"], [F.desc("n"), "genre"], 1).select("user_id", F.col("genre").alias("hub"))
+    first = start if start is not None else top_n(counts, ["user_id"], [F.desc("n"), "genre"], 1).select("user_id", F.col("genre").alias("hub"))
     shares = counts.select("user_id", F.lit("genre").alias("type"), F.col("genre").alias("id"), (F.col("n") / F.sum("n").over(Window.partitionBy("user_id"))).alias("share"))
     styles = held.join(c.styles, "release_id").select("user_id", F.lit("style").alias("type"), F.col("style").alias("id"), F.lit(0.0).alias("share")).distinct()
     rows = first.join(hubs(c), "hub").join(shares.unionByName(styles), ["user_id", "type", "id"], "left")

@@ -6,9 +6,20 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..plans import Catalog, query
 
+# The files that mark an analysed folder, and the columns of an evaluation set.
+ANALYSIS_FILES = ("report.txt", "skipped.jsonl", "violations.jsonl")
+GOLDEN = {
+    "labels": "id:string, name:string, release_count:int",
+    "artists": "id:string, name:string, primary_genre:string, styles:array<string>",
+    "masters": "id:string, title:string, year:int",
+    "releases": "id:string, title:string, artist_ids:array<string>, label_id:string, master_id:string, year:int, genres:array<string>, styles:array<string>, medium:string, have_count:int, want_count:int",
+}
+COLLECTORS = "id:string, name:string, taste_genres:array<string>, collected:array<struct<release_id:string, date_added:date>>, wants:array<string>"
+
 
 def read_flagged(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """JSON lines below ``root/<version>/<entity>/``; version and entity from the path, corrupt lines dropped."""
@@ -24,6 +35,53 @@ def read_sidecars(spark: SparkSession, root: str, most_bytes: int = 512 * 1024)
     return files.select(record.alias("record_id"), F.substring("content", 1, most_bytes).cast("string").alias("content"), (F.col("length") > most_bytes).alias("truncated"))
 
 
+def scan_versions(spark: SparkSession, root: str) -> DataFrame:
+    """(version, entity_types) of ``root/<version>/<entity>/`` folders that hold an analysis file, be it empty; from Spark's listing, as scans leave out empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{%s}" % ",".join(ANALYSIS_FILES)).load(root)
+    found = spark.createDataFrame([(path,) for path in files.inputFiles()], "path string")
+    parts = found.select(F.regexp_extract("path", r"/([^/]+)/[^/]+/[^/]+$", 1).alias("version"), F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("entity"))
+    return parts.groupBy("version").agg(F.sort_array(F.collect_set("entity")).alias("entity_types"))
+
+
+def phase_status(spark: SparkSession, root: str) -> DataFrame:
+    """(version, phase, status) from markers ``extraction_status_<version>.json``; a phase without a status is unknown, a corrupt marker has none.
+
+    Spark lists no hidden files, so markers whose names begin with a dot must be renamed first.
+    """
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*extraction_status_*.json")
+    marker = F.from_json("value", "map<string,string>")
+    version = F.regexp_extract("_metadata.file_path", r"extraction_status_([^/]+)\.json$", 1)
+    phases = F.map_filter(marker, lambda k, v: F.endswith(k, F.lit("_phase")) & F.startswith(v, F.lit("{")))
+    rows = files.select(version.alias("version"), F.explode(phases).alias("phase", "state"))
+    return rows.select("version", "phase", F.coalesce(F.get_json_object("state", "$.status"), F.lit("unknown")).alias("status"))
+
+
+def read_golden_set(spark: SparkSession, catalog: str, collectors: str) -> dict[str, DataFrame]:
+    """The typed tables of two JSON documents: labels, artists, masters, releases; collectors, collected, wants. A document that does not parse is an error."""
+    read = lambda path, schema: spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+    graph = read(catalog, ", ".join(f"{name} array<struct<{fields}>>" for name, fields in GOLDEN.items()))
+    people = read(collectors, f"collectors array<struct<{COLLECTORS}>>").select(F.explode("collectors").alias("x")).select("x.*")
+    tables = {name: graph.select(F.explode(name).alias("x")).select("x.*") for name in GOLDEN}
+    tables["collectors"] = people.select("id", "name", "taste_genres")
+    tables["collected"] = people.select(F.col("id").alias("collector_id"), F.explode("collected").alias("x")).select("collector_id", "x.*")
+    tables["wants"] = people.select(F.col("id").alias("collector_id"), F.explode("wants").alias("release_id"))
+    return tables
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of few rows as one JSON file, over what was there."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def moved_metrics(before: DataFrame, after: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(keys, metric, before, after) of numbers that differ by more than ``tolerance``, or that one side lacks; other columns are left out."""
+    numbers = [f.name for f in after.schema.fields if f.name not in keys and isinstance(f.dataType, NumericType)]
+    long = lambda df, side: df.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(side)) for n in numbers))).alias("x")).select(*keys, "x.*")
+    both = long(before, "before").join(long(after, "after"), [*keys, "metric"], "full_outer")
+    same = F.col("before").eqNullSafe(F.col("after")) | (F.abs(F.col("before") - F.col("after")) <= tolerance)
+    return both.where(~F.coalesce(same, F.lit(False)))
+
+
 def read_copy_text(spark: SparkSession, path: str, columns: dict[str, str], keep: list[str]) -> DataFrame:
     """A table in COPY text form: tabs, ``\\N`` for null, no quotes."""
     schema = ", ".join(f"{k} {v}" for k, v in columns.items())
