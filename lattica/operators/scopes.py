@@ -85,7 +85,7 @@ _FIRST = "SELECT user_id, genre AS hub FROM (SELECT *, row_number() OVER (PARTIT
 _WANTED = "SELECT user_id, genre AS hub FROM (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, genre) AS rn FROM (SELECT DISTINCT user_id, release_id FROM wanted) JOIN genres USING (release_id) GROUP BY 1, 2) WHERE rn = 1"
 
 
-@query("z3_explore_from_here", f"""SELECT * FROM ({ORACLES["m11_scored_discoveries"].replace(_FIRST, _WANTED).replace("WHERE rn <= 10", "WHERE rn <= 50")})""")
+@query("z3_explore_from_here", f"""SELECT * FROM ({ORACLES["m11_scored_discoveries"].replace(_FIRST, _WANTED).removesuffix("10")}50)""")
 def explore_from_here(c: Catalog, limit: int = 50) -> DataFrame:
     """From the genre that a user wants most, what lies near it, by what the user holds."""
     counts = c.wanted.select("user_id", "release_id").distinct().join(c.genres, "release_id").groupBy("user_id", "genre").agg(F.count("*").alias("n"))
