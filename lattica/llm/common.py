@@ -10,7 +10,7 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space between words, as a Java regular expression class.
@@ -61,6 +61,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.names: dict[str, str] = {}
         if (made := _made.get()) is not None:
             made.append(self)
 
@@ -73,20 +74,54 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_buckets(self, df: DataFrame, column: str, buckets: int, label: str = "t") -> DataFrame:
+        """Like ``save``, bucketed by ``column``: tables of equal buckets join on it without a shuffle."""
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{label}"
+        name = f"scratch_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, column).sortBy(column).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        self.names[path] = name
+        out = self.spark.table(name)
+        out._scratch_path = path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later plan reads."""
         for table in tables:
+            self._forget(table._scratch_path)
             self._delete(table._scratch_path)
 
     def remove(self) -> None:
         """Delete all its tables."""
+        for path in list(self.names):
+            self._forget(path)
         self._delete(self.root)
 
+    def _forget(self, path: str) -> None:
+        if name := self.names.pop(path, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def _delete(self, place: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def number_rows(df: DataFrame, scratch: Scratch, *order: Column) -> DataFrame:
+    """``df``, a written table, with ``place``: 0, 1, ... by ``order``.
+
+    Rows are sorted in ranges and numbered within each; a range begins where the counts of those before it end. So no task sees more than its
+    range, and what is summed in one task is a count for each range. Equal rows are split by ``order``'s last part, which should be unique.
+    """
+    high = F.shiftright("__at", 33)
+    ranged = scratch.save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    ranges = ranged.groupBy(high.alias("__range")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("__range", F.coalesce(before, F.lit(0)).alias("__start"))
+    # One row a range, of which there are as many as shuffle partitions.
+    out = ranged.join(F.broadcast(starts), high == F.col("__range"))
+    return out.withColumn("place", F.col("__start") + F.col("__at").bitwiseAND(2**33 - 1)).drop("__at", "__range", "__start")
+
+
 def text_of(col: Column | str) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

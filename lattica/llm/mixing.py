@@ -160,10 +160,10 @@ def take(docs: DataFrame, **options) -> DataFrame:
     plan = plan_mix(sized, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).withColumnRenamed("doc_id", "plan_key")
     # The columns go along as one, so that none clashes with a name used here.
     df = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(plan.hint("shuffle_hash"), F.col("key") == F.col("plan_key"))
-    return _deal(df).select("row.*")
+    return deal(df).select("row.*")
 
 
-def _deal(df: DataFrame) -> DataFrame:
+def deal(df: DataFrame) -> DataFrame:
     """Rows that repeat share their copies evenly; what is left over goes to the first of them by a running number."""
     once = df.where("rows = 1").withColumn("n", F.col("copies").cast("int"))
     many = df.where("rows > 1").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("plan_key")))

@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, by their registered names."""
+"""The queries of the operators and of the pipeline, by their registered names."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import read_table
 
 
@@ -71,6 +72,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster, cluster_digest
+
+    return cluster_digest(cluster(read_table(spark, sf_dir, "embeddings")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import importance
+
+    out = importance(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_slots
+
+    return shard_slots(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,6 +108,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_sharding": op13_sharding,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_centroid_clustering": oracles.centroid_sql(),
+    "op12_importance_resampling": oracles.importance_sql(),
+    "op13_sharding": oracles.shards_sql(),
+}
