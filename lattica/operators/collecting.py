@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, scaled, top_n
 from ..plans import Catalog, query
-from .fit import _FACETS, matched
+from .fit import _FACETS, bridges, matched  # noqa: F401
 from .rarity import _SCORED, rarity_scores
 
 _PAGE = """WITH pg AS (SELECT * FROM (SELECT user_id, release_id, date_added, row_number() OVER (PARTITION BY user_id ORDER BY date_added DESC, release_id) AS place FROM {edges}) WHERE place <= 50),
@@ -55,39 +55,6 @@ def taste_rows(c: Catalog) -> DataFrame:
 # fit
 
 
-_BRIDGE = """WITH RECURSIVE_MARK held AS (SELECT DISTINCT user_id, release_id FROM collected), cand AS (SELECT DISTINCT user_id, release_id FROM wanted),
-    hg AS (SELECT user_id, release_id, genre FROM held JOIN genres USING (release_id)), mem AS (SELECT DISTINCT user_id, genre, 'a' || artist_id AS m FROM hg JOIN by_ USING (release_id) UNION SELECT DISTINCT user_id, genre, 'l' || label_id FROM hg JOIN on_ USING (release_id)),
-    ov AS (SELECT x.user_id, x.genre, list(DISTINCT y.genre) AS touching FROM mem x JOIN mem y ON x.user_id = y.user_id AND x.m = y.m AND x.genre <> y.genre GROUP BY 1, 2),
-    gs AS (SELECT DISTINCT user_id, genre, style FROM hg JOIN styles USING (release_id)), reg AS (SELECT DISTINCT user_id, genre FROM hg),
-    tc AS (SELECT c.user_id, c.release_id, r.genre FROM cand c JOIN reg r USING (user_id) JOIN genres g ON g.release_id = c.release_id AND g.genre = r.genre UNION SELECT c.user_id, c.release_id, gs.genre FROM cand c JOIN gs USING (user_id) JOIN styles s ON s.release_id = c.release_id AND s.style = gs.style),
-    ls AS (SELECT t.user_id, t.release_id, list({'g': t.genre, 'o': coalesce(ov.touching, [])} ORDER BY t.genre) AS rs FROM tc t LEFT JOIN ov ON ov.user_id = t.user_id AND ov.genre = t.genre GROUP BY 1, 2),
-    rec AS (SELECT user_id, release_id, rs, 1 AS i, CAST([] AS VARCHAR[]) AS picked FROM ls UNION ALL SELECT user_id, release_id, rs, i + 1, CASE WHEN list_has_any(picked, rs[i].o) THEN picked ELSE list_append(picked, rs[i].g) END FROM rec WHERE i <= len(rs))
-    SELECT user_id, release_id, CAST(100 * least(1, greatest(0, len(picked) - 1)) AS BIGINT) AS bridge, array_to_string(picked, '|') AS regions FROM rec WHERE i > len(rs)""".replace("RECURSIVE_MARK ", "")
-
-
-@query("c12_bridges", _BRIDGE)
-def bridges(c: Catalog) -> DataFrame:
-    """Whether a wanted release touches regions (genres) of the collection that share no artist and no label: picked greedily in sorted order.
-
-    Which regions share a member is found by a join first, so the greedy pass meets names of genres only, which are few.
-    """
-    held = c.collected.select("user_id", "release_id").distinct()
-    want = c.wanted.select("user_id", "release_id").distinct()
-    regions = held.join(c.genres, "release_id")
-    member = lambda edges, kind, key: regions.join(edges, "release_id").select("user_id", "genre", F.concat(F.lit(kind), F.col(key).cast("string")).alias("m"))
-    members = member(c.by, "a", "artist_id").unionByName(member(c.on, "l", "label_id")).distinct()
-    touching = members.join(members.withColumnRenamed("genre", "other"), ["user_id", "m"]).where("genre != other").groupBy("user_id", "genre").agg(F.collect_set("other").alias("o"))
-    of = regions.join(c.styles, "release_id").select("user_id", "genre", "style").distinct()
-    same = want.join(c.genres, "release_id").join(regions.select("user_id", "genre").distinct(), ["user_id", "genre"])
-    near = want.join(c.styles, "release_id").join(of, ["user_id", "style"])
-    touched = same.select("user_id", "release_id", "genre").unionByName(near.select("user_id", "release_id", "genre")).distinct()
-    none = F.array().cast("array<string>")
-    rows = touched.join(touching, ["user_id", "genre"], "left").groupBy("user_id", "release_id").agg(F.sort_array(F.collect_list(F.struct(F.col("genre").alias("g"), F.coalesce("o", none).alias("o")))).alias("rs"))
-    picked = F.aggregate("rs", none, lambda acc, r: F.when(F.arrays_overlap(acc, r["o"]), acc).otherwise(F.array_append(acc, r["g"])))
-    rows = rows.withColumn("picked", picked)
-    return rows.select("user_id", "release_id", (100 * F.least(F.lit(1), F.greatest(F.lit(0), F.size("picked") - 1))).cast("long").alias("bridge"), F.array_join("picked", "|").alias("regions"))
-
-
 @query("c15_evidence", f"""{_FACETS}, t AS (SELECT user_id, release_id, dim, name, n, row_number() OVER (PARTITION BY user_id, release_id, n > 0 ORDER BY n DESC, dim, name) AS rn FROM m)
     SELECT user_id, release_id, coalesce(string_agg('shares ' || dim || ' ' || name || ' with ' || n || ' release' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' you hold', '; ' ORDER BY rn) FILTER (WHERE n > 0 AND rn <= 3), '') AS shared,
         coalesce(string_agg(name || ' is ' || CASE WHEN dim = 'artist' THEN 'an' ELSE 'a' END || ' ' || dim || ' your collection has never held', '; ' ORDER BY rn) FILTER (WHERE n = 0 AND rn <= 3), '') AS unheld, count(*) AS entries FROM t GROUP BY 1, 2""")

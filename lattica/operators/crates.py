@@ -73,6 +73,6 @@ def crates(c: Catalog) -> DataFrame:
     pool = candidates(c)
     both = c.collected.select("user_id", "release_id").union(c.wanted.select("user_id", "release_id"))
     popular = both.groupBy("release_id").agg(F.count_distinct("user_id").alias("popularity"))
-    valued = pool.join(popular, "release_id", "left").join(fit(c).withColumnRenamed("fit", "individual_fit"), ["user_id", "release_id"], "left").fillna(0, ["popularity", "individual_fit"])
+    valued = pool.join(popular, "release_id", "left").join(fit(c).select("user_id", "release_id", F.col("fit").alias("individual_fit")), ["user_id", "release_id"], "left").fillna(0, ["popularity", "individual_fit"])
     parts = [greedy(pool).withColumn("policy", F.lit("greedy_coverage")), *(ranked(valued, by).withColumn("policy", F.lit(by)) for by in ("individual_fit", "popularity"))]
     return reduce(DataFrame.unionByName, parts)

@@ -11,74 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scaled, top_n
 from ..plans import Catalog, query
+from .lookup import titles
 from .similarity import _CANDIDATES, _PROFILES, DIMENSIONS, similar_artists
-from .temporal import ensure_checkpoints
-
-DEPTH = 6
-HUB = 500
-
-
-def graph(c: Catalog) -> DataFrame:
-    """(a, b): all six kinds of edges between typed ids, in both directions."""
-    kinds = [(c.by, "release", "release_id", "artist", "artist_id"), (c.on, "release", "release_id", "label", "label_id"), (c.genres, "release", "release_id", "genre", "genre"),
-             (c.styles, "release", "release_id", "style", "style"), (c.aliases, "artist", "artist_id", "artist", "other_id"), (c.groups, "artist", "artist_id", "artist", "other_id")]
-    typed = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
-    one = reduce(DataFrame.unionByName, (df.select(typed(k, x).alias("a"), typed(m, y).alias("b")) for df, k, x, m, y in kinds))
-    return one.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
-
-
-def typed_paths(c: Catalog, sources: DataFrame, targets: DataFrame, depth: int = DEPTH, hub: int = HUB) -> DataFrame:
-    """(source, target, hops, path): a shortest path between typed ids, the least as text among equals; none between two hubs.
-
-    All sources advance together, a level a round; a node keeps one path from each source. A source is done when
-    it has met all targets. Levels are checkpointed, so lineage does not grow and a lost executor costs one level.
-    """
-    if not 1 <= depth <= 10:
-        raise ValueError("depth must be from 1 to 10")
-    ensure_checkpoints(c)
-    edges = graph(c).checkpoint()
-    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= hub).select(F.col("a").alias("hub"))
-    wanted = targets.select(F.col("node").alias("target")).distinct()
-    frontier = sources.select(F.col("node").alias("source"), "node", F.col("node").alias("path"), F.lit(0).cast("long").alias("hops")).checkpoint()
-    seen = frontier
-    for d in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.concat_ws(">", "path", "b").alias("path"))
-        fresh = step.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        frontier = fresh.select("source", "node", "path", F.lit(d).cast("long").alias("hops")).checkpoint()
-        seen = seen.unionByName(frontier)
-    found = seen.join(wanted, F.col("node") == F.col("target"), "left_semi").where("hops > 0")
-    big = lambda col: hubs.select(F.col("hub").alias(col), F.lit(True).alias(f"{col}_hub"))
-    out = found.withColumnRenamed("node", "target").join(big("source"), "source", "left").join(big("target"), "target", "left")
-    return out.where(~(F.coalesce("source_hub", F.lit(False)) & F.coalesce("target_hub", F.lit(False)))).select("source", "target", "hops", "path")
-
-
-def _paths_sql(depth: int) -> str:
-    """The same rounds, unrolled."""
-    edges = [("by_", "release", "release_id", "artist", "artist_id"), ("on_", "release", "release_id", "label", "label_id"), ("genres", "release", "release_id", "genre", "genre"), ("styles", "release", "release_id", "style", "style"), ("aliases", "artist", "artist_id", "artist", "other_id"), ("groups_", "artist", "artist_id", "artist", "other_id")]
-    one = " UNION ALL ".join(f"SELECT '{k}:' || {x} AS a, '{m}:' || {y} AS b FROM {t}" for t, k, x, m, y in edges)
-    out = [f"WITH one AS ({one}), e AS MATERIALIZED (SELECT a, b FROM one UNION SELECT b, a FROM one), deg AS (SELECT a FROM e GROUP BY 1 HAVING count(*) >= {HUB})"]
-    out.append("s0 AS (SELECT 'artist:' || artist_id AS source, 'artist:' || artist_id AS node, 'artist:' || artist_id AS path, 0::BIGINT AS hops FROM artists WHERE artist_id % 100 = 0), l0 AS (SELECT * FROM s0)")
-    for d in range(1, depth + 1):
-        out.append(f"l{d} AS MATERIALIZED (SELECT f.source, e.b AS node, min(f.path || '>' || e.b) AS path, {d}::BIGINT AS hops FROM l{d - 1} f JOIN e ON f.node = e.a WHERE NOT EXISTS (SELECT 1 FROM s{d - 1} s WHERE s.source = f.source AND s.node = e.b) GROUP BY 1, 2)")
-        out.append(f"s{d} AS MATERIALIZED (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM l{d})")
-    return ", ".join(out) + f" SELECT source, node AS target, hops, path FROM s{depth} WHERE hops > 0 AND node IN (SELECT 'label:' || label_id FROM label_nodes WHERE label_id % 100 = 0) AND NOT (source IN (SELECT a FROM deg) AND node IN (SELECT a FROM deg))"
-
-
-@query("p1_typed_paths", _paths_sql(DEPTH))
-def artist_label_paths(c: Catalog) -> DataFrame:
-    """The query set: from artists to labels whose ids are divisible by 100, over all nodes and edges."""
-    ids = lambda df, kind, key: df.where(F.col(key) % 100 == 0).select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("node"))
-    return typed_paths(c, ids(c.artists, "artist", "artist_id"), ids(c.labels, "label", "label_id"))
-
 
 # hubs
 
 
-def titles(c: Catalog) -> DataFrame:
-    """(release_id, title): a release is named after its master."""
-    return c.masters.join(c.table("part").select(F.col("p_partkey").alias("master_id"), F.col("p_name").alias("title")), "master_id").select("release_id", "title")
-
-
 _HUBS = """WITH t AS (SELECT release_id, p_name AS title FROM masters JOIN part ON p_partkey = master_id), base AS (SELECT g.genre AS hub, g.release_id, t.title FROM genres g LEFT JOIN t USING (release_id)),
     al AS (SELECT hub, 'artist' AS type, CAST(artist_id AS VARCHAR) AS id, any_value(p.n) AS pop, min(title) AS witness FROM base JOIN by_ USING (release_id) JOIN (SELECT artist_id, count(*) AS n FROM by_ GROUP BY 1) p USING (artist_id) GROUP BY hub, artist_id
         UNION ALL SELECT hub, 'label', CAST(label_id AS VARCHAR), any_value(p.n), min(title) FROM base JOIN on_ USING (release_id) JOIN (SELECT label_id, count(*) AS n FROM on_ GROUP BY 1) p USING (label_id) GROUP BY hub, label_id),
@@ -170,8 +108,8 @@ _HEUR = f"""{_PROFILES}, {_CANDIDATES}, nrm AS (SELECT artist_id, dim, sqrt(sum(
     hr AS (SELECT a AS id, b AS other_id, score / 1e4 AS heur FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM sc WHERE score > 0) WHERE rn <= 20 AND a % 100 = 0), {_NEAREST}"""
 
 
-@query("m16_fused_lists", f"""{_HEUR} SELECT coalesce(n.id, h.id) AS id, coalesce(n.other_id, h.other_id) AS other_id, CAST(floor(round(0.7::DOUBLE * coalesce(n.cos, 0) + 0.3::DOUBLE * coalesce(h.heur, 0), 9) * 10000 + 0.5) AS BIGINT) AS fused FROM nn n FULL OUTER JOIN hr h ON n.id = h.id AND n.other_id = h.other_id""")
-def fused_lists(c: Catalog, alpha: float = 0.7) -> DataFrame:
+@query("m16_fused_lists", f"""{_HEUR} SELECT coalesce(n.id, h.id) AS id, coalesce(n.other_id, h.other_id) AS other_id, CAST(floor(round(0.8::DOUBLE * coalesce(n.cos, 0) + 0.2::DOUBLE * coalesce(h.heur, 0), 9) * 10000 + 0.5) AS BIGINT) AS fused FROM nn n FULL OUTER JOIN hr h ON n.id = h.id AND n.other_id = h.other_id""")
+def fused_lists(c: Catalog, alpha: float = 0.8) -> DataFrame:
     """alpha x cosine + (1 - alpha) x heuristic score, over what either list has; an artist's vector is the one of its id."""
     heur = similar_artists(c).where("a % 100 = 0").select(F.col("a").alias("id"), F.col("b").alias("other_id"), (F.col("score") / 10**4).alias("heur"))
     both = neighbours(c).join(heur, ["id", "other_id"], "full_outer")
@@ -179,7 +117,7 @@ def fused_lists(c: Catalog, alpha: float = 0.7) -> DataFrame:
     return both.select("id", "other_id", scaled(F.round(fused, 9), 4).alias("fused"))
 
 
-@query("m18_ranked_lists", f"""{_HEUR}, f AS (SELECT coalesce(n.id, h.id) AS id, coalesce(n.other_id, h.other_id) AS other_id, CAST(floor(round(0.7::DOUBLE * coalesce(n.cos, 0) + 0.3::DOUBLE * coalesce(h.heur, 0), 9) * 10000 + 0.5) AS BIGINT) AS fused FROM nn n FULL OUTER JOIN hr h ON n.id = h.id AND n.other_id = h.other_id)
+@query("m18_ranked_lists", f"""{_HEUR}, f AS (SELECT coalesce(n.id, h.id) AS id, coalesce(n.other_id, h.other_id) AS other_id, CAST(floor(round(0.8::DOUBLE * coalesce(n.cos, 0) + 0.2::DOUBLE * coalesce(h.heur, 0), 9) * 10000 + 0.5) AS BIGINT) AS fused FROM nn n FULL OUTER JOIN hr h ON n.id = h.id AND n.other_id = h.other_id)
     SELECT id, other_id, rank FROM (SELECT id, other_id, row_number() OVER (PARTITION BY id ORDER BY fused DESC, other_id) AS rank FROM f) WHERE rank <= 5""")
 def ranked_lists(c: Catalog, n: int = 5) -> DataFrame:
     return top_n(fused_lists(c), ["id"], [F.desc("fused"), "other_id"], n, rank="rank").select("id", "other_id", F.col("rank").cast("long"))

@@ -141,8 +141,10 @@ def resolved_media(c: Catalog) -> DataFrame:
     return rows.select("release_id", F.coalesce(m, f, "priority").alias("media"), F.when(m.isNotNull(), "mediums").when(f.isNotNull(), "families").otherwise("formats").alias("source"))
 
 
-@query("r22_rarity_breakdown", f"""{_SCORED}, w AS (SELECT *, {" + ".join(f"CASE WHEN {k} IS NOT NULL THEN CAST({v} AS DOUBLE) ELSE 0.0 END" for k, v in WEIGHTS.items())} AS weight FROM rated)
-    {" UNION ALL ".join(f"SELECT release_id, '{k}' AS signal, CAST(floor({k} * 100 + 0.5) AS BIGINT) AS score, CAST(floor(CAST({v} AS DOUBLE) / weight * 10000 + 0.5) AS BIGINT) AS weight FROM w WHERE {k} IS NOT NULL" for k, v in WEIGHTS.items())}
+@query("r22_rarity_breakdown", f"""{_SCORED}, w AS (SELECT *, CASE WHEN pressing IS NULL THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM rated),
+    p AS (SELECT release_id, weight, unnest([{{'k': 'label_catalog', 'v': label_catalog::DOUBLE, 'f': 0.1::DOUBLE}}, {{'k': 'medium_rarity', 'v': medium_rarity::DOUBLE, 'f': 0.1::DOUBLE}}, {{'k': 'temporal', 'v': temporal::DOUBLE, 'f': 0.2::DOUBLE}},
+        {{'k': 'isolation', 'v': isolation::DOUBLE, 'f': 0.15::DOUBLE}}, {{'k': 'prevalence', 'v': prevalence::DOUBLE, 'f': 0.2::DOUBLE}}, {{'k': 'pressing', 'v': pressing::DOUBLE, 'f': 0.25::DOUBLE}}]) AS x FROM w)
+    SELECT release_id, x.k AS signal, CAST(floor(x.v * 100 + 0.5) AS BIGINT) AS score, CAST(floor(x.f / weight * 10000 + 0.5) AS BIGINT) AS weight FROM p WHERE x.v IS NOT NULL
     UNION ALL SELECT release_id, 'format_rarity', 100 * CAST(coalesce(max({_FORMAT_SQL}), 50) AS BIGINT), 0 FROM releases LEFT JOIN media USING (release_id) GROUP BY 1""")
 def rarity_breakdown(c: Catalog) -> DataFrame:
     """Each release's signals with their effective weights: shared out over the signals that it has. format_rarity has weight 0."""

@@ -11,7 +11,7 @@ from ..functions import top_n
 from ..plans import Catalog, query
 
 # Weights, tiers and score ladders.
-WEIGHTS = {"medium_rarity": 0.20, "label_catalog": 0.15, "prevalence": 0.15, "temporal": 0.15, "isolation": 0.10, "pressing": 0.25}
+WEIGHTS = {"label_catalog": 0.10, "medium_rarity": 0.10, "temporal": 0.20, "isolation": 0.15, "prevalence": 0.20, "pressing": 0.25}
 TIERS = ((80, "ultra-rare"), (60, "rare"), (40, "scarce"), (20, "uncommon"), (0, "common"))
 LADDERS = {
     "label_catalog": ((9, 100), (50, 75), (200, 50), (1000, 25), (None, 10)),
@@ -29,15 +29,14 @@ def ladder(x: Column, name: str) -> Column:
     return reduce(lambda out, step: F.when(x <= step[0], step[1]).otherwise(out), reversed(steps[:-1]), F.lit(steps[-1][1]))
 
 
-def _ladder_sql(x: str, name: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} <= {top} THEN {score}" for top, score in LADDERS[name][:-1]) + f" ELSE {LADDERS[name][-1][1]} END"
-
-
 def signals(c: Catalog) -> DataFrame:
     """Per release: the raw signals and scores from 0 to 100; ``pressing`` is null where it does not apply."""
     size = c.on.groupBy("label_id").agg(F.count("*").alias("label_size"))
     sibling = c.masters.join(c.releases.where("year > 0").select("release_id", "year"), "release_id")
-    latest = sibling.groupBy("master_id").agg(F.max("year").alias("latest"), F.count("*").alias("pressings"))
+    # The latest release of each master, and the latest year of its others: so each release finds the latest of its siblings.
+    latest = sibling.groupBy("master_id").agg(F.max(F.struct("year", "release_id")).alias("last"), F.count("*").alias("pressings"))
+    others = sibling.join(latest, "master_id").where("release_id != last.release_id").groupBy("master_id").agg(F.max("year").alias("second"))
+    latest = latest.join(others, "master_id", "left").select("master_id", "pressings", F.col("last.year").alias("first_year"), F.col("last.release_id").alias("first_id"), "second")
     degree = [c.by.select("release_id"), c.genres.select("release_id"), c.styles.select("release_id"), c.on.select("release_id")]
     degree = reduce(DataFrame.unionByName, degree).groupBy("release_id").agg(F.count("*").alias("degree"))
     media = c.media.withColumn("m", reduce(lambda out, kv: F.when(F.col("family") == kv[0], kv[1]).otherwise(out), MEDIA.items(), F.lit(50)))
@@ -47,7 +46,8 @@ def signals(c: Catalog) -> DataFrame:
     df = c.releases.select("release_id", "year", "label_id").join(size, "label_id").join(degree, "release_id", "left").join(media, "release_id", "left")
     df = df.join(c.masters, "release_id", "left").join(latest, "master_id", "left").join(have, "release_id", "left").join(want, "release_id", "left")
     age = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 1.5 * (THIS_YEAR - F.col("year"))))
-    recent = F.coalesce(F.col("latest") >= THIS_YEAR - 10, F.lit(False)) & (F.col("latest") > F.col("year"))
+    newest = F.when(F.col("release_id") == F.col("first_id"), F.col("second")).otherwise(F.col("first_year"))
+    recent = F.coalesce(newest >= THIS_YEAR - 10, F.lit(False))
     bonus = F.when(F.coalesce("want", F.lit(0)) > F.coalesce("have", F.lit(0)), 5).otherwise(0)
     prevalence = F.when(F.col("have").isNull() & F.col("want").isNull(), 50).otherwise(F.least(F.lit(100), ladder(F.coalesce("have", F.lit(0)), "prevalence") + bonus))
     grooved = F.coalesce("grooved", F.lit(False))
@@ -72,22 +72,23 @@ def composed(df: DataFrame) -> DataFrame:
     return out.withColumn("tier", tier)
 
 
-_SIGNALS = f"""WITH size AS (SELECT label_id, count(*) AS label_size FROM on_ GROUP BY 1),
-    latest AS (SELECT master_id, max(year) AS latest, count(*) AS pressings FROM masters JOIN releases USING (release_id) WHERE year > 0 GROUP BY 1),
+_SIGNALS = """WITH size AS (SELECT label_id, count(*) AS label_size FROM on_ GROUP BY 1),
+    latest AS (SELECT master_id, count(*) AS pressings FROM masters JOIN releases USING (release_id) WHERE year > 0 GROUP BY 1),
+    sib AS (SELECT release_id, max(year) OVER (PARTITION BY master_id ORDER BY release_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS newest FROM masters JOIN releases USING (release_id) WHERE year > 0),
     deg AS (SELECT release_id, count(*) AS degree FROM (SELECT release_id FROM by_ UNION ALL SELECT release_id FROM genres UNION ALL SELECT release_id FROM styles UNION ALL SELECT release_id FROM on_) GROUP BY 1),
     med AS (SELECT release_id, max(CASE family WHEN 'A' THEN 40 WHEN 'N' THEN 30 WHEN 'R' THEN 70 ELSE 50 END) AS medium_rarity, bool_or(family = 'R') AS grooved FROM media GROUP BY 1),
     hv AS (SELECT release_id, count(DISTINCT user_id) AS have FROM collected GROUP BY 1), wt AS (SELECT release_id, count(DISTINCT user_id) AS want FROM wanted GROUP BY 1),
-    signals AS (SELECT r.release_id, CAST(coalesce(medium_rarity, 50) AS BIGINT) AS medium_rarity, CAST({_ladder_sql("label_size", "label_catalog")} AS BIGINT) AS label_catalog,
-        CAST(CASE WHEN have IS NULL AND want IS NULL THEN 50 ELSE least(100, {_ladder_sql("coalesce(have, 0)", "prevalence")} + CASE WHEN coalesce(want, 0) > coalesce(have, 0) THEN 5 ELSE 0 END) END AS BIGINT) AS prevalence,
-        CAST(CASE WHEN year > 0 THEN greatest(0.0, least(100.0, greatest(0.0, 1.5 * ({THIS_YEAR} - year))) - CASE WHEN latest >= {THIS_YEAR - 10} AND latest > year THEN 40 ELSE 0 END) ELSE 50.0 END AS DECIMAL(6,2)) AS temporal,
-        CAST({_ladder_sql("coalesce(degree, 0)", "isolation")} AS BIGINT) AS isolation,
-        CAST(CASE WHEN coalesce(grooved, false) THEN CASE WHEN m.master_id IS NULL THEN 90 ELSE {_ladder_sql("coalesce(pressings, 1)", "pressing")} END END AS BIGINT) AS pressing
+    signals AS (SELECT r.release_id, CAST(coalesce(medium_rarity, 50) AS BIGINT) AS medium_rarity, CAST(CASE WHEN label_size < 10 THEN 100 WHEN label_size <= 50 THEN 75 WHEN label_size <= 200 THEN 50 WHEN label_size <= 1000 THEN 25 ELSE 10 END AS BIGINT) AS label_catalog,
+        CAST(CASE WHEN have IS NULL AND want IS NULL THEN 50 ELSE least(100, CASE WHEN coalesce(have, 0) <= 0 THEN 95 WHEN have <= 10 THEN 85 WHEN have <= 100 THEN 70 WHEN have <= 1000 THEN 50 WHEN have <= 10000 THEN 25 ELSE 10 END + CASE WHEN coalesce(want, 0) > coalesce(have, 0) THEN 5 ELSE 0 END) END AS BIGINT) AS prevalence,
+        CAST(CASE WHEN year > 0 THEN greatest(0.0, least(100.0, greatest(0.0, 1.5 * (2005 - year))) - CASE WHEN newest >= 1995 THEN 40 ELSE 0 END) ELSE 50.0 END AS DECIMAL(6,2)) AS temporal,
+        CAST(CASE WHEN coalesce(degree, 0) <= 2 THEN 90 WHEN degree <= 4 THEN 70 WHEN degree <= 7 THEN 50 WHEN degree <= 12 THEN 30 ELSE 10 END AS BIGINT) AS isolation,
+        CAST(CASE WHEN coalesce(grooved, false) THEN CASE WHEN m.master_id IS NULL THEN 90 ELSE CASE WHEN coalesce(pressings, 1) <= 1 THEN 100 WHEN pressings <= 2 THEN 85 WHEN pressings <= 5 THEN 60 WHEN pressings <= 10 THEN 35 ELSE 10 END END END AS BIGINT) AS pressing
         FROM releases r JOIN size ON r.label_id = size.label_id LEFT JOIN deg ON r.release_id = deg.release_id LEFT JOIN med ON r.release_id = med.release_id LEFT JOIN masters m ON r.release_id = m.release_id
-        LEFT JOIN latest ON m.master_id = latest.master_id LEFT JOIN hv ON r.release_id = hv.release_id LEFT JOIN wt ON r.release_id = wt.release_id)"""
+        LEFT JOIN latest ON m.master_id = latest.master_id LEFT JOIN sib ON sib.release_id = r.release_id LEFT JOIN hv ON r.release_id = hv.release_id LEFT JOIN wt ON r.release_id = wt.release_id)"""
 _SCORED = f"""{_SIGNALS},
-    sums AS (SELECT *, {" + ".join(f"coalesce(CAST({k} AS DOUBLE) * {w}, 0.0)" for k, w in WEIGHTS.items())} AS total, {" + ".join(f"CASE WHEN {k} IS NOT NULL THEN CAST({w} AS DOUBLE) ELSE 0.0 END" for k, w in WEIGHTS.items())} AS weight FROM signals),
+    sums AS (SELECT *, 0.1::DOUBLE * label_catalog + 0.1::DOUBLE * medium_rarity + 0.2::DOUBLE * CAST(temporal AS DOUBLE) + 0.15::DOUBLE * isolation + 0.2::DOUBLE * prevalence + 0.25::DOUBLE * coalesce(pressing, 0) AS total, CASE WHEN pressing IS NULL THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM signals),
     scored AS (SELECT * EXCLUDE (total, weight), CAST(floor(total / weight * 100 + 0.5 + 1e-7) AS BIGINT) AS score FROM sums),
-    rated AS (SELECT *, CASE {" ".join(f"WHEN score >= {t * 100} THEN '{n}'" for t, n in TIERS[:-1])} ELSE '{TIERS[-1][1]}' END AS tier FROM scored)"""
+    rated AS (SELECT *, CASE WHEN score >= 8000 THEN 'ultra-rare' WHEN score >= 6000 THEN 'rare' WHEN score >= 4000 THEN 'scarce' WHEN score >= 2000 THEN 'uncommon' ELSE 'common' END AS tier FROM scored)"""
 
 
 @query("r2_rarity_signals", f"{_SIGNALS} SELECT * FROM signals")

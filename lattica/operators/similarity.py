@@ -148,35 +148,55 @@ def label_affinity(c: Catalog, n: int = 20) -> DataFrame:
     return top_n(rest, ["user_id"], [F.desc("score"), "release_id"], n)
 
 
-@query("m10_blind_spots", f"""WITH {_UNHELD}, ug AS (SELECT DISTINCT user_id, style FROM held JOIN styles USING (release_id)), reach AS (SELECT user_id, style, count(DISTINCT artist_id) AS artists FROM ua JOIN by_ USING (artist_id) JOIN styles USING (release_id) GROUP BY 1, 2)
-    SELECT user_id, style, artists FROM reach r WHERE NOT EXISTS (SELECT 1 FROM ug WHERE ug.user_id = r.user_id AND ug.style = r.style)""")
-def blind_spots(c: Catalog) -> DataFrame:
-    """Styles that the user's top artists reach and the user holds none of."""
-    # Styles of an artist are made distinct before users meet them.
-    of = c.by.join(c.styles, "release_id").select("artist_id", "style").distinct()
-    reach = top_held(c, c.by, "artist_id", 10).select("user_id", "artist_id").join(of, "artist_id").groupBy("user_id", "style").agg(F.count("*").alias("artists"))
-    mine = c.collected.select("user_id", "release_id").join(c.styles, "release_id").select("user_id", "style")
-    return reach.join(mine, ["user_id", "style"], "left_anti")
+_BLIND = """ub AS (SELECT user_id, artist_id FROM (SELECT user_id, artist_id, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, artist_id) AS rn FROM held JOIN by_ USING (release_id) GROUP BY 1, 2) WHERE rn <= 20),
+    ug AS (SELECT DISTINCT user_id, genre FROM held JOIN genres USING (release_id)),
+    reach AS (SELECT ub.user_id, g.genre, b.artist_id, b.release_id FROM ub JOIN by_ b USING (artist_id) JOIN genres g ON g.release_id = b.release_id WHERE (ub.user_id, b.release_id) NOT IN (SELECT (user_id, release_id) FROM held) AND (ub.user_id, g.genre) NOT IN (SELECT (user_id, genre) FROM ug)),
+    ov AS (SELECT user_id, genre, count(DISTINCT artist_id) AS artists, list_sort(list(DISTINCT release_id)) AS rs FROM reach GROUP BY 1, 2),
+    bs AS (SELECT user_id, genre, artists AS score, unnest(rs[1:5]) AS release_id FROM ov)"""
+
+
+def blind_spots(c: Catalog, artists: int = 20, samples: int = 5) -> DataFrame:
+    """(user_id, genre, artists, sample): genres that the user's top artists release in and the user holds none of, with the least releases there.
+
+    Of an artist's releases in a genre the first few are enough for the sample (a user of a blind genre holds none of them), so a user meets one row for each
+    top artist and genre, however many releases lie behind it.
+    """
+    place = F.row_number().over(Window.partitionBy("artist_id", "genre").orderBy("release_id"))
+    pairs = c.by.join(c.genres, "release_id").select("artist_id", "genre", "release_id").withColumn("place", place).where(F.col("place") <= samples)
+    firsts = pairs.groupBy("artist_id", "genre").agg(F.collect_list("release_id").alias("firsts"))
+    reach = top_held(c, c.by, "artist_id", artists).select("user_id", "artist_id").join(firsts, "artist_id")
+    mine = c.collected.select("user_id", "release_id").join(c.genres, "release_id").select("user_id", "genre").distinct()
+    blind = reach.join(mine, ["user_id", "genre"], "left_anti").groupBy("user_id", "genre")
+    sample = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("firsts")))), 1, samples)
+    return blind.agg(F.count("*").alias("artists"), sample.alias("sample"))
+
+
+@query("m21_blind_spots", f"WITH {_UNHELD}, {_BLIND} SELECT user_id, genre, artists, rs[1] AS example FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY artists DESC, genre) AS rn FROM ov) WHERE rn <= 5")
+def blind_spot_genres(c: Catalog, n: int = 5) -> DataFrame:
+    """The blind genres that most of the user's top artists release in, each with its least release there."""
+    first = top_n(blind_spots(c), ["user_id"], [F.desc("artists"), "genre"], n)
+    return first.select("user_id", "genre", "artists", F.get("sample", F.lit(0)).alias("example"))
 
 
 def blind_spot_releases(c: Catalog) -> DataFrame:
-    """Releases of the user's top artists in the user's blind spots, scored by how many of those artists reach the style."""
-    tops = top_held(c, c.by, "artist_id", 10).select("user_id", "artist_id")
-    asked = blind_spots(c).join(tops, "user_id")
-    return asked.join(c.by.join(c.styles, "release_id"), ["artist_id", "style"]).groupBy("user_id", "release_id").agg(F.max("artists").alias("score"))
+    """(user_id, genre, score, release_id): the samples, scored by how many top artists release in the genre."""
+    return blind_spots(c).select("user_id", "genre", F.col("artists").alias("score"), F.explode("sample").alias("release_id"))
+
+
+@query("m10_blind_spots", f"WITH {_UNHELD}, {_BLIND} SELECT user_id, genre, score, release_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, genre, release_id) AS rn FROM bs) WHERE rn <= 50")
+def blind_spot_candidates(c: Catalog, n: int = 50) -> DataFrame:
+    return top_n(blind_spot_releases(c), ["user_id"], [F.desc("score"), "genre", "release_id"], n)
 
 
 _POOL = "{name} AS (SELECT user_id, release_id, s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, release_id) AS rn FROM ({rows}) r WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = r.user_id AND h.release_id = r.release_id)) WHERE rn <= 50)"
 _POOLS = ", ".join(_POOL.format(name=n, rows=r) for n, r in (
     ("pa", "SELECT user_id, release_id, sum(n) AS s FROM ua JOIN by_ USING (artist_id) WHERE (user_id, release_id) NOT IN (SELECT user_id, release_id FROM want) GROUP BY 1, 2"),
     ("pl", "SELECT user_id, release_id, n AS s FROM ul JOIN on_ USING (label_id)"),
-    ("pb", "SELECT u.user_id, b.release_id, max(bl.artists) AS s FROM bl JOIN ua u USING (user_id) JOIN by_ b USING (artist_id) JOIN styles s ON s.release_id = b.release_id AND s.style = bl.style GROUP BY 1, 2"),
 ))
 
 
-@query("m6_merged_recommendations", f"""WITH {_UNHELD}, {_LABEL_CAND}, ug AS (SELECT DISTINCT user_id, style FROM held JOIN styles USING (release_id)), reach AS (SELECT user_id, style, count(DISTINCT artist_id) AS artists FROM ua JOIN by_ USING (artist_id) JOIN styles USING (release_id) GROUP BY 1, 2),
-    bl AS (SELECT user_id, style, artists FROM reach r WHERE NOT EXISTS (SELECT 1 FROM ug WHERE ug.user_id = r.user_id AND ug.style = r.style)), {_POOLS},
-    al AS ({" UNION ALL ".join(f"SELECT user_id, release_id, {w}::DOUBLE * s / max(s) OVER (PARTITION BY user_id) AS w FROM {t}" for t, w in (("pa", SIGNALS["artist"]), ("pl", SIGNALS["label"]), ("pb", SIGNALS["blindspot"])))}),
+@query("m6_merged_recommendations", f"""WITH {_UNHELD}, {_LABEL_CAND}, {_BLIND}, {_POOLS}, pb AS (SELECT user_id, release_id, score AS s FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, genre, release_id) AS rn FROM bs) WHERE rn <= 50),
+    al AS ({" UNION ALL ".join(f"SELECT user_id, release_id, {w}::DOUBLE * s / max(s) OVER (PARTITION BY user_id) AS w FROM {t}" for t, w in (("pa", 0.35), ("pl", 0.25), ("pb", 0.25)))}),
     cc AS (SELECT release_id, count(DISTINCT user_id) AS n FROM collected GROUP BY 1), mx AS (SELECT max(n) AS m FROM cc), g AS (SELECT user_id, release_id, sum(w) AS w FROM al GROUP BY 1, 2)
     SELECT user_id, release_id, score FROM (SELECT user_id, release_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, release_id) AS rn FROM
         (SELECT g.user_id, g.release_id, CAST(floor(round(g.w + 0.15::DOUBLE * (1 - coalesce(cc.n, 0) / m), 9) * 10000 + 0.5) AS BIGINT) AS score FROM g LEFT JOIN cc ON g.release_id = cc.release_id, mx)) WHERE rn <= 20""")
@@ -186,8 +206,7 @@ def merged_recommendations(c: Catalog, n: int = 20, pool: int = 50) -> DataFrame
     Held rows go before a pool is cut, and only pools are windowed and merged, so the merge meets ``pool`` rows of each user and signal.
     """
     wide = {"artist": user_recommendations(c, pool), "label": label_affinity(c, pool)}
-    blind = blind_spot_releases(c).join(c.collected.select("user_id", "release_id"), ["user_id", "release_id"], "left_anti")
-    wide["blindspot"] = top_n(blind, ["user_id"], [F.desc("score"), "release_id"], pool)
+    wide["blindspot"] = blind_spot_candidates(c, pool)
     best = F.max("score").over(Window.partitionBy("user_id"))
     parts = [df.select("user_id", "release_id", (SIGNALS[k] * F.col("score") / best).alias("w")) for k, df in wide.items()]
     merged = reduce(DataFrame.unionByName, parts).groupBy("user_id", "release_id").agg(F.sum("w").alias("w"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import top_n
-from ..plans import Catalog, query
+from ..plans import Catalog, query, shared_dir
 
 
 def validity(events: DataFrame, key: list[str], at: str, order: str) -> DataFrame:
@@ -171,17 +171,10 @@ def superseded_documents(c: Catalog) -> DataFrame:
 
 
 def ensure_checkpoints(c: Catalog) -> None:
-    """Loops cut lineage in the folder that the session names; only a local session without one gets its own."""
+    """Loops cut lineage in the folder that driver and executors share."""
     sc = c.spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = c.spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and sc.master.startswith("local"):
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-checkpoints-", dir="/tmp")
-        if folder is None:
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_dir(c.spark))
 
 
 # paths

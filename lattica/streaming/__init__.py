@@ -8,21 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans import Catalog, query
+from ..plans import Catalog, query, shared_dir
 
 REQUIRED = {"purchase": ("k", "value"), "click": ("k",), "view": ("k",), "signup": ("user_id",), "error": ("k",)}
 
 
 def folder(c: Catalog, name: str) -> str:
     """A fresh place below the folder that executors share."""
-    base = c.spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not c.spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(c.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:

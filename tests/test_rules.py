@@ -53,6 +53,37 @@ def test_rarity_renormalises_over_present_signals(spark):
     assert got == {1: (4000, "scarce"), 2: (5500, "scarce")}
 
 
+def test_each_rarity_signal_has_its_own_weight(spark):
+    """Unlike scores: 10 x 0.1 + 20 x 0.1 + 30 x 0.2 + 40 x 0.15 + 50 x 0.2 = 25, over 0.75 without pressings, and plus 60 x 0.25 with."""
+    schema = "release_id int, label_catalog int, medium_rarity int, temporal double, isolation int, prevalence int, pressing int"
+    df = spark.createDataFrame([(1, 10, 20, 30.0, 40, 50, None), (2, 10, 20, 30.0, 40, 50, 60)], schema)
+    assert {r.release_id: (r.score, r.tier) for r in composed(df).collect()} == {1: (3333, "uncommon"), 2: (4000, "scarce")}
+
+
+def test_temporal_scarcity_looks_at_other_releases_of_the_master(spark):
+    from lattica.operators.rarity import signals
+
+    df, at = spark.createDataFrame, __import__("datetime").datetime(2024, 1, 1)
+
+    class C:
+        # Master 7: releases of 1960, 2000; 8: two of 2001; 9: 2003 alone; release 6 without a master.
+        releases = df([(1, 1960, 5, "p"), (2, 2000, 5, "p"), (3, 2001, 5, "p"), (4, 2001, 5, "p"), (5, 2003, 5, "p"), (6, 1940, 5, "p")], "release_id bigint, year bigint, label_id bigint, priority string")
+        masters = df([(1, 7), (2, 7), (3, 8), (4, 8), (5, 9)], "release_id bigint, master_id bigint")
+        on = df([(i, 5) for i in range(1, 7)], "release_id bigint, label_id bigint")
+        by = df([(1, 1)], "release_id bigint, artist_id bigint")
+        genres = df([(1, "g")], "release_id bigint, genre string")
+        styles = df([(1, "s")], "release_id bigint, style string")
+        media = df([(1, "R_F", "R"), (6, "A_F", "A")], "release_id bigint, medium string, family string")
+        collected = df([(9, 1, at, 1.0)], "user_id bigint, release_id bigint, date_added timestamp_ntz, value double")
+        wanted = df([(9, 1, at, 1.0), (8, 1, at, 1.0)], "user_id bigint, release_id bigint, date_added timestamp_ntz, value double")
+
+    got = {r.release_id: r for r in signals(C).collect()}
+    # Base 1.5 a year before 2005; 40 less where another release is of 1995 or later: not where the release itself is the only such one.
+    assert {k: float(r.temporal) for k, r in got.items()} == {1: 27.5, 2: 7.5, 3: 0.0, 4: 0.0, 5: 3.0, 6: 97.5}
+    assert (got[1].medium_rarity, got[1].label_catalog, got[1].prevalence, got[1].isolation, got[1].pressing) == (70, 100, 90, 70, 85)
+    assert got[6].pressing is None and got[2].isolation == 90
+
+
 def test_validity_has_one_open_row_and_no_overlap(spark):
     df = spark.createDataFrame([("k", 1, 1, "a"), ("k", 5, 2, "b"), ("k", 5, 3, "c"), ("m", 2, 4, "d")], "key string, at int, id int, v string")
     got = validity(df, ["key"], "at", "id").orderBy("key", "valid_from", "id").collect()
