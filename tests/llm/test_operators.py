@@ -364,6 +364,47 @@ def test_classifier(spark, docs):
     assert len(none) == len(sample()) and {r["score"] for r in none} == {0.5}
 
 
+def test_line_chunks_are_cut_alike_after_shifts(spark):
+    """The boundaries inside a passage don't depend on what stands before it; long repeats go by coarse chunks, not by pairs alone."""
+    from lattica.llm.common import Scratch
+    from lattica.llm.line_dedup import _chunk_ends, dedup_lines, repeated_runs
+
+    rng = random.Random(12)
+    passage = [prose(rng, 7) for _ in range(80)]
+    other = [[prose(rng, 7) for _ in range(n)] for n in (5, 17, 2)]
+    rows = [(0, "\n".join(passage)), (1, "\n".join(other[0] + passage + other[1])), (2, "\n".join(other[2] + passage[3:60]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ends = df.select("doc_id", _chunk_ends(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x))).alias("e")).collect()
+    shift = {0: 0, 1: 5, 2: -1}
+    inner = {r["doc_id"]: {e - shift[r["doc_id"]] for e in r["e"]} & set(range(6, 59)) for r in ends}
+    assert inner[0] == inner[1] == inner[2] and len(inner[0]) >= 3
+    scratch = Scratch(spark, "chunks")
+    gone = collected(repeated_runs(df, scratch))
+    assert {r["b"] - r["a"] + 1 for r in gone} - {1, 2}, "coarse chunks"
+    assert len(gone) < 2 * 58 + 79, "fewer than the pairs of both repeats"
+    got = {r["doc_id"]: r["text"] for r in collected(dedup_lines(df))}
+    assert got == {0: rows[0][1], 1: "\n".join(other[0] + other[1]), 2: "\n".join(other[2])}
+
+
+def test_line_dedup_agrees_on_random_lines(spark):
+    """Few kinds of lines, so that runs of all lengths repeat, overlap and touch; one line fills whole texts."""
+    from lattica.llm.line_dedup import dedup_lines
+
+    rng = random.Random(21)
+    kinds = [f"line {k} of few" for k in range(9)] + ["", "  "]
+    rows = []
+    for i in range(70):
+        lines = [rng.choice(kinds) for _ in range(rng.randrange(1, 25))]
+        if rng.random() < 0.4:
+            lines += [f"own {i} {k}" for k in range(rng.randrange(12))]
+        if i and rng.random() < 0.4:
+            lines += rng.choice(rows)[1].split("\n")[: rng.randrange(30)]
+        rows.append((i, "\n".join(lines)))
+    rows += [(90, "\n".join(["same"] * 400)), (91, "\n".join(["same"] * 3)), (92, "\n".join(["same"] * 400))]
+    got = {r["doc_id"]: r["text"] for r in collected(dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")))}
+    assert got == {i: left for (i, _), left in without_repeats(rows).items()}
+
+
 # mixing and packing
 
 
@@ -525,6 +566,6 @@ def test_pipeline_drops_exact_copies(spark, tmp_path):
 def test_queries_run_over_the_tables(spark):
     from lattica.llm.queries import QUERIES
 
-    assert sorted(k for k in QUERIES if k.startswith("op")) == sorted(f"op{n}_{x}" for n, x in enumerate("minhash imatch line_dedup url_filter secret_scan best_fit_packing pii quality_rules mixing quality_classifier".split(), 1))
+    assert sorted(k for k in QUERIES if k.startswith("op")) == sorted(f"op{n}_{x}" for n, x in enumerate("minhash imatch line_dedup url_filter secret_scan best_fit_packing pii quality_rules mixing quality_classifier centroid_clustering importance_resampling sharding".split(), 1))
     out = QUERIES["op4_url_filter"](spark, "/root/testdata/sf0.001")
     assert out.select(F.count("*")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
