@@ -123,16 +123,16 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, long_line: int = 50) -> Dat
     hashed = scratch.save(hashed.withColumn("ends", _chunk_ends(F.col("h"))), "hashes")
     chunks = _later(hashed.select("doc_id", "key", F.explode(_coarse()).alias("r")).select("doc_id", "key", "r.*"), scratch)
     going = chunks.where("not is_first").groupBy("key").agg(F.collect_list("k").alias("going")).withColumnRenamed("key", "going_key")
-    rest = hashed.join(going, F.col("key") == F.col("going_key"), "left").withColumn("marks", F.array_sort(F.concat(_starts(0), F.transform("going", lambda k: F.struct(k.alias("k"), F.lit(1).alias("goes"))))))
+    rest = hashed.join(going.hint("merge"), F.col("key") == F.col("going_key"), "left").withColumn("marks", F.array_sort(F.concat(_starts(0), F.transform("going", lambda k: F.struct(k.alias("k"), F.lit(1).alias("goes"))))))
     rest = rest.withColumn("inside", _inside())
     runs = scratch.save(rest.select("doc_id", "key", F.explode(_fine()).alias("r")).select("doc_id", "key", "r.*"), "runs")
     scratch.drop(hashed)
     pairs = _later(runs, scratch)
     scratch.drop(runs)
-    # Only texts with a repeated run are read again, for the comparison of bytes.
+    # Only texts with a repeated run are read again, for the comparison of bytes. Texts meet what grows with them by sort-merge joins, which can spill.
     marked = chunks.unionByName(pairs)
     asked = marked.groupBy("key").agg(F.collect_list(F.struct("k", "n", "hash", "is_first")).alias("asked")).withColumnRenamed("key", "asked_key")
-    texts = docs.select(F.xxhash64("doc_id", text_of("text")).alias("key"), text_of("text").alias("text")).join(asked, F.col("key") == F.col("asked_key"))
+    texts = docs.select(F.xxhash64("doc_id", text_of("text")).alias("key"), text_of("text").alias("text")).join(asked.hint("merge"), F.col("key") == F.col("asked_key"))
     texts = texts.select("key", "asked", F.size(F.split("text", "\n")).alias("all"), _lines(F.col("text")).alias("lines"))
     texts = texts.select("key", F.explode(F.transform("asked", _read)).alias("r")).select("key", "r.*")
     texts = scratch.save(texts, "texts")
@@ -152,7 +152,7 @@ def dedup_lines(docs: DataFrame, long_line: int = 50) -> DataFrame:
     # The other columns go along as one, so that none clashes with a name used here.
     text = F.col("text")
     df = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64("doc_id", text_of("text")).alias("row_key"))
-    df = df.join(gone, F.col("row_key") == F.col("key"), "left").withColumn("lines", F.split("text", "\n"))
+    df = df.join(gone.hint("merge"), F.col("row_key") == F.col("key"), "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i - 1)), "\n")
     found = F.col("gone").isNotNull()
