@@ -3,9 +3,10 @@
 Every document of a source is wanted ``target / source size`` times (0 to 2). The whole part of that is taken of every document,
 the rest is an inclusion probability. A flight moves the probabilities of three undecided documents at a time along the
 null space of two constraints, documents and words of the source, until one of them is 0 or 1; both totals stay
-as they are. Flights run in blocks of one source; each leaves at most two documents undecided, which the next round
-gathers into fewer blocks, until one block a source is left. Its last documents are landed on the combination that comes nearest
-to the source's words.
+as they are. Flights run in blocks of one source; each leaves at most two documents undecided, and holds back ``RESERVE`` more, spread over the
+sizes from the smallest to the largest. The next round gathers them into fewer blocks, until one block a source is left. Its last documents, the
+reserve among them, are landed on the combination that comes nearest to the source's words: of some 2^18 sums one is near even where
+a single document holds a good part of its source.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last in order; a source of size 0 has target
 0 and takes nothing; repeated rows are documents of their own; a null ``doc_id`` is a row like any other; columns of any names pass through
@@ -17,7 +18,6 @@ task (one row each; ids in the millions are fine).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 2048
+#: Documents of a block that are left to the landing.
+RESERVE = 16
 EPS = 1e-9
 
 
@@ -80,29 +82,62 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return p
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """The sums of all subsets, by the bits of their numbers."""
+    out = np.zeros(1)
+    for v in values:
+        out = np.concatenate([out, out + v])
+    return out
+
+
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide the last few: the combination nearest to the expected words, then documents."""
+    """Decide the last few: the combination nearest to the expected words, then to the expected number of documents, then the first.
+
+    Sums of one half are looked up among the sorted sums of the other, so twenty documents take some thousand steps.
+    """
     left = np.flatnonzero((p > 0) & (p < 1))
     if not len(left):
         return p
     want, count = float(p[left] @ size[left]), float(p[left].sum())
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda c: (abs(float(np.dot(c, size[left])) - want), abs(sum(c) - count), c))
+    half = len(left) // 2
+    a, b = _sums(size[left[:half]]), _sums(size[left[half:]])
+    na, nb = _sums(np.ones(half)), _sums(np.ones(len(left) - half))
+    order = np.lexsort((nb, b))
+    at = np.searchsorted(b[order], want - a)
+    tries = [(i, order[j]) for step in (-1, 0) for i, j in enumerate(np.clip(at + step, 0, len(b) - 1))]
+    i, j = min(tries, key=lambda t: (abs(a[t[0]] + b[t[1]] - want), abs(na[t[0]] + nb[t[1]] - count), t[0], t[1]))
     p = p.copy()
-    p[left] = best
+    p[left] = [i >> k & 1 for k in range(half)] + [int(j) >> k & 1 for k in range(len(left) - half)]
+    return p
+
+
+def held_back(p: np.ndarray) -> np.ndarray:
+    """Whether a document, of all in order of size, waits for the landing: ``RESERVE`` of the undecided ones, spread evenly."""
+    open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    out = np.zeros(len(p), dtype=bool)
+    if len(open_):
+        out[open_[np.unique(np.linspace(0, len(open_) - 1, min(RESERVE, len(open_))).astype(int))]] = True
+    return out
+
+
+def _flown(pdf: pd.DataFrame) -> np.ndarray:
+    """The probabilities after a flight of all documents, in order of size, but for those held back."""
+    p, size = pdf["p"].to_numpy(dtype=float).copy(), pdf["size"].to_numpy(dtype=float)
+    flies = ~held_back(p)
+    p[flies] = flight(p[flies], size[flies])
     return p
 
 
 def _fly(pdf: pd.DataFrame) -> pd.DataFrame:
-    # The largest first: what stays undecided to the end is small.
     pdf = pdf.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last").reset_index(drop=True)
-    pdf["p"] = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(dtype=float))
+    pdf["p"] = _flown(pdf)
     pdf["place"] = np.arange(len(pdf), dtype=np.int64)
     return pdf
 
 
 def _fly_again(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["size", "block", "place"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    pdf["p"] = flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(dtype=float))
+    pdf["p"] = _flown(pdf)
     if pdf["last"].iloc[0]:
         pdf["p"] = land(pdf["p"].to_numpy(), pdf["size"].to_numpy(dtype=float))
     return pdf
@@ -132,7 +167,7 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     open_ = flown.where("p > 0 and p < 1").select("rank", "block", "place", "size", "p")
     most_blocks = int(targets.agg(F.coalesce(F.max(F.ceil(F.col("docs") / block)), F.lit(0))).first()[0])
     rounds, left = [], most_blocks
-    group, width = 1, block // 2  # a block leaves two documents at most
+    group, width = 1, max(2, block // (RESERVE + 2))  # a block leaves so many documents at most
     while True:
         group *= width
         left = -(-left // width)
@@ -159,7 +194,7 @@ def take(docs: DataFrame, **options) -> DataFrame:
     sized = docs.select(key.alias("doc_id"), "source", F.size(words_of(text)).cast("long").alias("size"))
     plan = plan_mix(sized, **options).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).withColumnRenamed("doc_id", "plan_key")
     # The columns go along as one, so that none clashes with a name used here.
-    df = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(plan.hint("shuffle_hash"), F.col("key") == F.col("plan_key"))
+    df = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(plan.hint("merge"), F.col("key") == F.col("plan_key"))
     return deal(df).select("row.*")
 
 

@@ -437,6 +437,38 @@ def test_mixing(docs):
     assert take(docs).columns == docs.columns
 
 
+def test_sources_come_near_their_targets(spark):
+    """Within half a hundredth, or the smallest document, of every source of the given tables, also where one document is a fifth of its source."""
+    from lattica.llm.mixing import mix
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    by = collections.defaultdict(list)
+    for r in collected(mix(docs)):
+        by[source[r["doc_id"]]].append(r)
+    for rows in by.values():
+        off = abs(sum(r["size"] * r["copies"] for r in rows) - rows[0]["target"])
+        assert off <= max(0.005 * rows[0]["target"], min(r["size"] for r in rows))
+        share = rows[0]["target"] / rows[0]["source_size"]
+        assert abs(sum(r["copies"] for r in rows) - share * len(rows)) <= 10
+        assert all(int(share) <= r["copies"] <= int(share) + 1 for r in rows)
+
+
+def test_landing_takes_the_nearest_sum():
+    import itertools
+
+    import numpy as np
+
+    from lattica.llm.mixing import land
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 9):
+        p, size = rng.random(n), rng.integers(0, 400, n).astype(float)
+        best = min(abs(float(np.dot(c, size)) - float(p @ size)) for c in itertools.product((0, 1), repeat=n))
+        got = land(p, size)
+        assert set(got) <= {0.0, 1.0} and abs(abs(float(got @ size) - float(p @ size)) - best) < 1e-9
+
+
 def test_flight_keeps_totals():
     import numpy as np
 
