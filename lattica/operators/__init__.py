@@ -1,4 +1,4 @@
 """Importing this package registers the catalog queries."""
 
-from . import collecting, compositions, crates, discover, entities, explore, fit, folds, fulltext, inscriptions, insights, lookup, paths, profiles, rarity, scopes, search, similarity, temporal, trends  # noqa: F401
+from . import collecting, compositions, crates, discover, entities, explore, fit, folds, fulltext, inscriptions, insights, lookup, paths, profiles, pursuit, rarity, scopes, search, similarity, strata, temporal, trends  # noqa: F401
 from .. import sources, streaming  # noqa: F401
