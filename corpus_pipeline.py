@@ -35,7 +35,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, likeness 0.8 or more. A document without words, or without an id, is no one's copy and stays."""
     gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("gone"), "left_anti")
+    # The columns go along as one, so that none clashes with a name used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    return rows.join(gone.hint("merge"), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
