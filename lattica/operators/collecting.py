@@ -9,6 +9,7 @@ from ..functions import names, scaled, top_n
 from ..plans import Catalog, query
 from .fit import _FACETS, bridges, matched  # noqa: F401
 from .rarity import _SCORED, rarity_scores
+from .similarity import first_releases
 
 _PAGE = """WITH pg AS (SELECT * FROM (SELECT user_id, release_id, date_added, row_number() OVER (PARTITION BY user_id ORDER BY date_added DESC, release_id) AS place FROM {edges}) WHERE place <= 50),
     ids AS (SELECT DISTINCT release_id FROM pg), a AS (SELECT release_id, min(artist_id) AS artist FROM by_ GROUP BY 1), g AS (SELECT release_id, string_agg(genre, '|' ORDER BY genre) AS genres FROM genres GROUP BY 1), s AS (SELECT release_id, string_agg(style, '|' ORDER BY style) AS styles FROM styles GROUP BY 1)
@@ -169,13 +170,16 @@ _LISTS = """WITH tr AS (SELECT DISTINCT user_id, release_id FROM collected WHERE
 
 
 def label_lists(c: Catalog, cut: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """(held out, lists with ranks) of the label heuristic over a split in time."""
+    """(held out, lists with ranks) of the label heuristic over a split in time.
+
+    The best k lie among the first k + h unheld releases of each liked label, so a user meets that many of a label, however many it has.
+    """
     keys = ["user_id", "release_id"]
     at = F.lit(cut).cast("timestamp_ntz")
     train = c.collected.where(F.col("date_added") < at).select(*keys).distinct()
     test = c.collected.where(F.col("date_added") >= at).select(*keys).distinct().join(train, keys, "left_anti")
     liked = train.join(c.on, "release_id").groupBy("user_id", "label_id").agg(F.count("*").alias("n"))
-    rows = liked.join(c.on, "label_id").join(train, keys, "left_anti")
+    rows = first_releases(c.on, "label_id", liked, train, k).join(train, keys, "left_anti")
     return test, top_n(rows.select(*keys, "n"), ["user_id"], [F.desc("n"), "release_id"], k, rank="rn")
 
 
