@@ -13,8 +13,7 @@ is missed with probability (1 - t^r)^b at most, under 1e-8 by default; ``bands_f
 
 Defined results: a null text counts as empty; an empty text, or one without words, has no shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; a null ``doc_id`` is its own component (null, kept);
-rows that share a doc_id with different texts are classes of their own, each of which reports the component of its own text, and a
-class counts as linked with the other documents of its text only; extra columns are ignored; an empty table gives an empty result; a very long
+one id is one node: rows that share a doc_id with different texts join the components of all of them, and each reports the size of its own text's set; extra columns are ignored; an empty table gives an empty result; a very long
 text is one set, whose size bounds the memory of its comparison.
 """
 

@@ -257,3 +257,31 @@ def test_sharding_nothing(spark):
     from lattica.llm.sharding import shard_slots
 
     assert shard_slots(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+# compiled rules of the classifier
+
+
+def test_compiled_rules_score_like_plain_ones(spark):
+    """The column expression of a rule model against its conditions evaluated one by one."""
+    from lattica.llm.classifier import FEATURES, RuleModel
+
+    rng = random.Random(17)
+    rules = []
+    for _ in range(25):
+        conditions = {f: rng.choice([(round(rng.random(), 2), None), (None, round(rng.random(), 2)), (round(rng.random() / 2, 2), round(0.5 + rng.random() / 2, 2))]) for f in rng.sample(FEATURES, rng.randrange(1, 4))}
+        rules.append((conditions, rng.uniform(-2, 2)))
+    model = RuleModel(0.3, rules)
+    rows = [tuple(round(rng.random(), 2) for _ in FEATURES) for _ in range(200)] + [tuple(0.0 for _ in FEATURES)]
+
+    def plain(row):
+        total = model.intercept
+        for conditions, weight in rules:
+            x = {f: row[FEATURES.index(f)] for f in conditions}
+            if all((low is None or x[f] > low) and (high is None or x[f] <= high) for f, (low, high) in conditions.items()):
+                total += weight
+        return 1 / (1 + math.exp(-total))
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = {r["i"]: r["s"] for r in df.select("i", model.score().alias("s")).collect()}
+    assert all(abs(got[i] - plain(r)) < 1e-12 for i, r in enumerate(rows))
