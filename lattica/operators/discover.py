@@ -25,9 +25,12 @@ _HUBS = """WITH t AS (SELECT release_id, p_name AS title FROM masters JOIN part
 
 
 @query("m13_hubs", f"{_HUBS} SELECT hub, type, id, witness FROM hubs")
-def hubs(c: Catalog, limit: int = 100) -> DataFrame:
-    """What lies two hops from each genre: other genres and styles, and the most established artists and labels, each with its least linking title."""
-    base = c.genres.select(F.col("genre").alias("hub"), "release_id").join(titles(c), "release_id", "left")
+def hubs(c: Catalog, limit: int = 100, only: DataFrame | None = None) -> DataFrame:
+    """What lies two hops from each genre (or from those of ``only`` (hub)): other genres and styles, and the most established artists and labels, each with its least linking title."""
+    base = c.genres.select(F.col("genre").alias("hub"), "release_id")
+    if only is not None:
+        base = base.join(only.select("hub"), "hub", "left_semi")
+    base = base.join(titles(c), "release_id", "left")
     near = []
     for kind, edges, key in (("artist", c.by, "artist_id"), ("label", c.on, "label_id")):
         pop = edges.groupBy(key).agg(F.count("*").alias("pop"))
