@@ -65,12 +65,13 @@ def scored_discoveries(c: Catalog, limit: int = 10, start: DataFrame | None = No
 # neighbour lists
 
 
-def nearest(vectors: DataFrame, asked: DataFrame, k: int = 10, block: int = 512, parts: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, asked: DataFrame, k: int = 10, block: int = 512, part: int = 8192, parts: int | None = None) -> DataFrame:
     """(id, other_id, cos): the exact k nearest of ``asked`` among ``vectors`` (both id, e), by cosine to nine places, then id.
 
-    Asked vectors are dealt into blocks, all vectors into parts; each pair of a block and a part is one matrix product that keeps k of each row.
+    Asked vectors are dealt into blocks of some ``block``, all vectors into parts of some ``part`` (or as many as ``parts``), so a cell's size does not depend on their number; each pair of a block and a part is one matrix product that keeps k of each row.
     """
     n = max(1, -(-asked.count() // block))
+    parts = parts or max(1, -(-vectors.count() // part))
     left = asked.select("id", "e", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("asks", F.lit(True))
     right = vectors.select("id", "e", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("j")).withColumn("asks", F.lit(False))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scaled
+from ..functions import running_sums, scaled
 from ..plans import Catalog, query
 
 _TOKEN = r"(?U)[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -26,9 +26,9 @@ def _tokens(text: Column) -> Column:
 def _spans(text: str, regex: str) -> Column:
     """array<struct<start, end>> of the matches, in characters; ``text`` and ``regex`` name columns."""
     found, pieces = F.regexp_extract_all(F.col(text), F.col(regex), F.lit(0)), F.split(F.col(text), F.col(regex), -1)
-    total = lambda xs: F.aggregate(F.transform(xs, F.length), F.lit(0), lambda a, b: a + b)
-    start = lambda i: total(F.slice(pieces, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-    return F.transform(found, lambda x, i: F.struct(start(i).alias("start"), (start(i) + F.length(x)).alias("end")))
+    sums = running_sums(F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda x, y: F.length(x) + F.length(y)))
+    start = lambda at, i: at + F.length(F.get(pieces, i))
+    return F.transform(sums, lambda at, i: F.struct(start(at, i).alias("start"), (start(at, i) + F.length(F.get(found, i))).alias("end")))
 
 
 def _clash(x: Column, y: Column) -> Column:

@@ -36,6 +36,16 @@ def test_scaled_rounds_half_up(spark):
     assert [r.y for r in got.collect()] == [5, 3, None]
 
 
+def test_running_sums(spark):
+    from itertools import accumulate
+
+    from lattica.functions import running_sums
+
+    arrays = [[], [5], list(range(127)), list(range(128)), list(range(129)), [3] * 1000]
+    got = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>").select("i", running_sums(F.col("a")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: [0, *accumulate(a)][: len(a)] for i, a in enumerate(arrays)}
+
+
 def test_share_below_counts_positive_values_only(spark):
     df = spark.createDataFrame([(1, 5), (2, 5), (3, 10), (4, 0), (5, None)], "k int, v int")
     want = {1: 0.0, 2: 0.0, 3: 2 / 3, 4: 0.0, 5: 0.0}
