@@ -66,6 +66,39 @@ def interpret(inscriptions: DataFrame, rules: DataFrame) -> DataFrame:
     return inscriptions.select("id").join(matched.select("id", rated.alias("spans")), "id", "left").select("id", F.coalesce("spans", none).alias("spans"))
 
 
+_PIECE = r"(?U)[\p{L}\p{N}]+|\s+|[^\s\p{L}\p{N}]+"
+
+
+def _kind(piece: Column) -> Column:
+    """The kinds of spans. A run of letters and digits is alphanumeric if it has both, else what its first character is."""
+    first = F.substring(piece, 1, 1)
+    has = lambda x, regex: F.rlike(x, F.lit(regex))
+    run = F.when(has(piece, r"\p{L}") & has(piece, r"\p{Nd}"), "alphanumeric").when(has(first, r"\p{L}"), "letters").when(has(first, r"\p{Nd}"), "numbers").otherwise("alphanumeric")
+    return F.when(has(first, r"(?U)\s"), "whitespace").when(has(first, r"[\p{L}\p{N}]"), run).otherwise("marks")
+
+
+def lexical_spans(text: Column) -> Column:
+    """array<struct<text, start, end, kind>>: the text in runs of letters and digits, of white space, and of other marks; together they are the text."""
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    starts = running_sums(F.transform(pieces, F.length))
+    return F.zip_with(pieces, starts, lambda p, at: F.struct(p.alias("text"), at.alias("start"), (at + F.length(p)).alias("end"), _kind(p).alias("kind")))
+
+
+def unknown_spans(text: Column, spans: Column) -> Column:
+    """The typed spans of what ``spans`` (struct<start, end, ..>, ascending) leave of the text, with their places in it."""
+    gap = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        out = F.when(x["start"] > acc["at"], F.array_append(acc["gaps"], gap(acc["at"], x["start"]))).otherwise(acc["gaps"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("gaps"))
+
+    rest = lambda acc: F.when(acc["at"] < F.length(text), F.array_append(acc["gaps"], gap(acc["at"], F.length(text)))).otherwise(acc["gaps"])
+    gaps = F.aggregate(spans, F.struct(F.lit(0).alias("at"), none.alias("gaps")), step, rest)
+    moved = lambda g: F.transform(lexical_spans(F.substr(text, g["a"] + 1, g["b"] - g["a"])), lambda x: F.struct(x["text"].alias("text"), (x["start"] + g["a"]).alias("start"), (x["end"] + g["a"]).alias("end"), x["kind"].alias("kind")))
+    return F.flatten(F.transform(gaps, moved))
+
+
 def accepted(read: DataFrame) -> DataFrame:
     """(id, role, candidate), distinct: what the spans that are not ambiguous say."""
     sure = F.flatten(F.transform(F.filter("spans", lambda x: ~x["ambiguous"]), lambda x: x["candidates"]))
@@ -133,6 +166,28 @@ def interpretations(c: Catalog) -> DataFrame:
     return read.select(F.col("id").alias("p_partkey"), status.alias("status"), F.array_join(F.transform("spans", place), "|").alias("spans"), said.alias("accepted"))
 
 
+@query("b16_typed_spans", """WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+|\\s+|[^\\s\\p{L}\\p{N}]+')) AS p, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}]+|\\s+|[^\\s\\p{L}\\p{N}]+'), 1) AS i FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT doc_id, i, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e, length(p) AS n, CASE WHEN regexp_matches(p, '^\\s') THEN 'whitespace' WHEN NOT regexp_matches(p, '^[\\p{L}\\p{N}]') THEN 'marks' WHEN regexp_matches(p, '\\p{L}') AND regexp_matches(p, '\\p{Nd}') THEN 'alphanumeric' WHEN regexp_matches(p, '^\\p{L}') THEN 'letters' WHEN regexp_matches(p, '^\\p{Nd}') THEN 'numbers' ELSE 'alphanumeric' END AS kind FROM p)
+    SELECT doc_id, count(*) AS spans, count(*) FILTER (WHERE kind = 'letters') AS letters, count(*) FILTER (WHERE kind = 'numbers') AS numbers, count(*) FILTER (WHERE kind = 'alphanumeric') AS alphanumeric, count(*) FILTER (WHERE kind = 'marks') AS marks, md5(string_agg(CAST(e - n AS BIGINT) || ':' || CAST(e AS BIGINT) || ':' || kind, ',' ORDER BY i)) AS digest FROM k GROUP BY 1""")
+def typed_spans(c: Catalog) -> DataFrame:
+    """The typed spans of every text: how many of each kind, and a digest of their places."""
+    rows = c.table("documents").where("text <> ''").select("doc_id", lexical_spans(F.col("text")).alias("s"))
+    of = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(kind)
+    line = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["kind"])), ",")
+    return rows.select("doc_id", F.size("s").cast("long").alias("spans"), of("letters"), of("numbers"), of("alphanumeric"), of("marks"), F.md5(line).alias("digest"))
+
+
+@query("b16_unknown_spans", f"""{_READ}, ch AS (SELECT id, t, unnest(generate_series(1, length(t))) AS i FROM ins), cl AS (SELECT id, i, t[i] AS c, CASE WHEN regexp_matches(t[i], '^\\s') THEN 0 WHEN regexp_matches(t[i], '^[\\p{{L}}\\p{{N}}]') THEN 1 ELSE 2 END AS k, EXISTS (SELECT 1 FROM st WHERE st.id = ch.id AND st.s < i AND i <= st.e) AS known FROM ch),
+    ed AS (SELECT *, CASE WHEN lag(k) OVER w IS DISTINCT FROM k OR lag(known) OVER w THEN 1 ELSE 0 END AS fresh FROM cl WINDOW w AS (PARTITION BY id ORDER BY i)), gr AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY i) AS g FROM ed WHERE NOT known)
+    SELECT id AS p_partkey, string_agg(a || '-' || e || ' ' || x, '|' ORDER BY a) AS unknown FROM (SELECT id, min(i) - 1 AS a, max(i) AS e, string_agg(c, '' ORDER BY i) AS x FROM gr GROUP BY id, g) GROUP BY 1""")
+def part_unknown_spans(c: Catalog) -> DataFrame:
+    """What the signatures leave of each part's inscription; inscriptions that are known from end to end are left out."""
+    texts = part_inscriptions(c)
+    rows = interpret(texts, part_rules(c)).join(texts.select("id", "text"), "id").select("id", unknown_spans(F.col("text"), F.col("spans")).alias("u")).where(F.size("u") > 0)
+    said = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(" "), x["text"])
+    return rows.select(F.col("id").alias("p_partkey"), F.array_join(F.transform("u", said), "|").alias("unknown"))
+
+
 def _measured_sql(method: str, found: str) -> str:
     return f"""SELECT '{method}' AS method, *, CASE WHEN accepted > 0 THEN CAST(floor(correct / accepted * 1e6 + 0.5) AS BIGINT) END AS precision_ppm, CASE WHEN cases > 0 THEN CAST(floor(covered / cases * 1e6 + 0.5) AS BIGINT) END AS coverage_ppm
     FROM (SELECT count(*) AS accepted, count(x.id) AS correct, count(DISTINCT f.id) AS covered, (SELECT count(*) FROM ins) AS cases FROM {found} f LEFT JOIN ex x ON x.id = f.id AND x.role = f.role AND x.cand = f.cand)"""

@@ -42,3 +42,47 @@ def test_large_roots_are_refused(spark):
     got = strata(Catalog(spark, "/root/testdata/sf0.001"), most=10)
     counts = {r.status: (r.least, r.most, r.drawn) for r in got.groupBy("status").agg(F.min("releases").alias("least"), F.max("releases").alias("most"), F.count("entries").alias("drawn")).collect()}
     assert counts["served"][1] <= 10 < counts["refused"][0] and counts["refused"][2] == 0 < counts["served"][2]
+
+
+def test_typed_spans_are_the_text_and_unknown_ones_what_is_left(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lattica.operators.inscriptions import lexical_spans, unknown_spans
+
+    def kind(ch):
+        return "whitespace" if ch.isspace() else "letters" if ch.isalpha() else "numbers" if ch.isdecimal() else "alphanumeric" if ch.isalnum() else "marks"
+
+    def lex(text):
+        out, run = [], {"letters", "numbers", "alphanumeric"}
+        for i, ch in enumerate(text):
+            k = kind(ch)
+            if out and (kind(text[out[-1][0]]) == k or {k, kind(text[out[-1][0]])} <= run):
+                out[-1][1] = i + 1
+            else:
+                out.append([i, i + 1])
+        named = []
+        for a, b in out:
+            piece, k = text[a:b], kind(text[a])
+            if k in run and any(map(str.isalpha, piece)) and any(map(str.isdecimal, piece)):
+                k = "alphanumeric"
+            named.append((piece, a, b, k))
+        return named
+
+    rng = random.Random(8)
+    texts = ["", "A-1  B2²", "²3", "\t\n", "é~~1"] + ["".join(rng.choice("aB1 2-~é²\t") for _ in range(rng.randrange(60))) for _ in range(60)]
+    rows = []
+    for i, t in enumerate(texts):
+        spans = sorted((a, min(len(t), a + rng.randrange(1, 9))) for a in rng.sample(range(len(t)), min(len(t), rng.randrange(4))))
+        rows.append((i, t, spans))
+    df = spark.createDataFrame(rows, "i int, t string, s array<struct<start:int,end:int>>")
+    got = df.select("i", lexical_spans(F.col("t")).alias("l"), unknown_spans(F.col("t"), F.col("s")).alias("u")).collect()
+    for r in got:
+        _, text, spans = rows[r.i]
+        assert [tuple(x) for x in r.l] == lex(text) and "".join(x.text for x in r.l) == text
+        left, at = [], 0
+        for a, b in [*spans, (len(text), len(text))]:
+            left += [(p, at + x, at + y, k) for p, x, y, k in lex(text[at:a])]
+            at = max(at, b)
+        assert [tuple(x) for x in r.u] == left
