@@ -90,7 +90,8 @@ def minted_and_linked(c: Catalog) -> DataFrame:
 
 @query("i16_suffix_minimum", "SELECT event_id, min(CAST(value * 100 + 0.5 AS BIGINT)) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bound FROM ev".replace("CAST(value * 100 + 0.5 AS BIGINT)", "CAST(floor(value * 100 + 0.5) AS BIGINT)"))
 def suffix_minimum(c: Catalog) -> DataFrame:
-    w = Window.partitionBy("k").orderBy("event_id").rowsBetween(0, Window.unboundedFollowing)
+    # From the end on: a frame that only grows takes one step a row, one that begins at the row is summed up anew for each.
+    w = Window.partitionBy("k").orderBy(F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
     return c.events.select("event_id", F.min(F.floor(F.col("value") * 100 + 0.5).cast("long")).over(w).alias("bound"))
 
 

@@ -201,3 +201,12 @@ def test_distances_answer_for_all_artists(spark):
     assert rows(collaborator_distances(c)) == sorted(pairs, key=repr)
     for depth, got in ((6, alias_distances(c)), (9, alias_distances(c, depth=9))):
         assert rows(got) == sorted([(a, b, abs(a - b)) for a in near for b in near if abs(a - b) <= depth] + [(20, 20, 0)], key=repr)
+
+
+def test_suffix_minimum_takes_a_growing_frame(spark):
+    """A frame from the row to the end is summed up anew for every row of a key; one from the start is not."""
+    from lattica.operators.temporal import suffix_minimum
+    from lattica.plans import Catalog
+
+    plan = suffix_minimum(Catalog(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "unboundedpreceding" in plan
