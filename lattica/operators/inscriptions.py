@@ -47,23 +47,27 @@ def interpret(inscriptions: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rules = rules.select(signature_of(F.col("signature")).alias("signature"), "role", "candidate").where("signature != ''")
     known = rules.groupBy("signature").agg(F.sort_array(F.collect_set(F.struct("role", "candidate"))).alias("candidates"))
-    tokens = inscriptions.select("id", F.explode(_tokens(F.col("text"))).alias("token"))
+    # Inscriptions of one text read alike, so texts are read once each; a text's bytes say little of the work it makes, so texts are spread by number.
+    spread = 4 * inscriptions.sparkSession.sparkContext.defaultParallelism
+    texts = inscriptions.where("text is not null").select("text").distinct()
+    tokens = texts.repartition(spread, "text").select("text", F.explode(_tokens(F.col("text"))).alias("token"))
     asked = known.select("signature", F.explode(_tokens(F.col("signature"))).alias("token"))
     counts = tokens.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     # A signature with a token that no text has can't match: its least count is none.
     rarest = asked.join(counts, "token", "left").groupBy("signature").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x"))
     rarest = rarest.where("x.n > 0").select("signature", F.col("x.token").alias("token"))
-    pairs = tokens.join(rarest, "token").select("id", "signature").join(known, "signature").join(inscriptions.select("id", "text"), "id")
+    pairs = tokens.join(rarest, "token").select("text", "signature").repartition(spread, "text").join(known, "signature")
     words = F.transform(F.split("signature", " "), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     pairs = pairs.withColumn("regex", F.concat(F.lit("(?U)"), F.array_join(words, r"\s+"))).withColumn("at", F.explode(_spans("text", "regex")))
     alone = lambda place: ~F.rlike(F.substr("text", place, F.lit(1)), F.lit(_ALNUM))
     pairs = pairs.where(((F.col("at.start") == 0) | alone(F.col("at.start"))) & alone(F.col("at.end") + 1))
     span = F.struct("at.start", "at.end", "signature", "candidates")
-    matched = pairs.groupBy("id").agg(F.sort_array(F.collect_list(span)).alias("all"))
+    matched = pairs.groupBy("text").agg(F.sort_array(F.collect_list(span)).alias("all"))
     unsure = lambda x: (F.size(x["candidates"]) > 1) | F.exists("all", lambda y: _clash(x, y))
     rated = F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["signature"].alias("signature"), x["candidates"].alias("candidates"), unsure(x).alias("ambiguous")))
     none = F.array().cast("array<struct<start:int,end:int,signature:string,candidates:array<struct<role:string,candidate:string>>,ambiguous:boolean>>")
-    return inscriptions.select("id").join(matched.select("id", rated.alias("spans")), "id", "left").select("id", F.coalesce("spans", none).alias("spans"))
+    # Files of texts are small beside their rows, so sizes by files must not make this a broadcast.
+    return inscriptions.select("id", "text").join(matched.select("text", rated.alias("spans")).hint("merge"), "text", "left").select("id", F.coalesce("spans", none).alias("spans"))
 
 
 _PIECE = r"(?U)[\p{L}\p{N}]+|\s+|[^\s\p{L}\p{N}]+"
@@ -115,7 +119,7 @@ def exact(inscriptions: DataFrame, rules: DataFrame) -> DataFrame:
 def measured(found: DataFrame, expected: DataFrame, cases: DataFrame) -> DataFrame:
     """One row: accepted, correct, covered, cases and the two shares in millionths (null where undefined)."""
     right = expected.select("id", "role", "candidate").distinct().withColumn("right", F.lit(True))
-    rows = found.join(right, ["id", "role", "candidate"], "left").agg(F.count("*").alias("accepted"), F.count("right").alias("correct"), F.count_distinct("id").alias("covered"))
+    rows = found.join(right.hint("merge"), ["id", "role", "candidate"], "left").agg(F.count("*").alias("accepted"), F.count("right").alias("correct"), F.count_distinct("id").alias("covered"))
     rows = rows.join(F.broadcast(cases.agg(F.count("*").alias("cases"))))
     share = lambda a, b: F.when(F.col(b) > 0, scaled(F.col(a) / F.col(b)))
     return rows.select("*", share("correct", "accepted").alias("precision_ppm"), share("covered", "cases").alias("coverage_ppm"))
@@ -183,7 +187,7 @@ def typed_spans(c: Catalog) -> DataFrame:
 def part_unknown_spans(c: Catalog) -> DataFrame:
     """What the signatures leave of each part's inscription; inscriptions that are known from end to end are left out."""
     texts = part_inscriptions(c)
-    rows = interpret(texts, part_rules(c)).join(texts.select("id", "text"), "id").select("id", unknown_spans(F.col("text"), F.col("spans")).alias("u")).where(F.size("u") > 0)
+    rows = interpret(texts, part_rules(c)).join(texts.select("id", "text").hint("merge"), "id").select("id", unknown_spans(F.col("text"), F.col("spans")).alias("u")).where(F.size("u") > 0)
     said = lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(" "), x["text"])
     return rows.select(F.col("id").alias("p_partkey"), F.array_join(F.transform("u", said), "|").alias("unknown"))
 

@@ -86,3 +86,23 @@ def test_typed_spans_are_the_text_and_unknown_ones_what_is_left(spark):
             left += [(p, at + x, at + y, k) for p, x, y, k in lex(text[at:a])]
             at = max(at, b)
         assert [tuple(x) for x in r.u] == left
+
+
+def test_equal_texts_are_read_once(spark):
+    """Many inscriptions of one text cost one reading: signatures are matched on distinct texts, and nothing of the inscriptions' number is sent to the driver."""
+    texts = spark.range(1000).selectExpr("id", "concat('made by ACME ', id % 4) AS text")
+    rules = spark.createDataFrame([("ACME", "maker", "acme")], "signature string, role string, candidate string")
+    read = interpret(texts, rules)
+    got = read.collect()
+    assert len(got) == 1000 and all([(s.start, s.end) for s in r.spans] == [(8, 12)] for r in got)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join LeftOuter" in line and "text#" in line and "merge" in line for line in plan.splitlines())
+
+
+def test_metrics_join_by_merge(spark):
+    from lattica.operators.inscriptions import measured
+
+    rows = spark.createDataFrame([(1, "maker", "acme")], "id long, role string, candidate string")
+    df = measured(rows, rows, rows.select("id"))
+    assert df.first().correct == 1
+    assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
