@@ -210,3 +210,13 @@ def test_suffix_minimum_takes_a_growing_frame(spark):
 
     plan = suffix_minimum(Catalog(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString().lower()
     assert "unboundedfollowing" not in plan and "unboundedpreceding" in plan
+
+
+def test_shared_personnel_does_not_spread_lists_over_all_parts(spark):
+    """Blocks of masters that have nobody in common do not meet, whatever their number; the counts stay."""
+    c = Catalog(spark, SF)
+    want = rows(shared_personnel(c))
+    assert rows(shared_personnel(c, rows_each=700)) == want
+    assert rows(shared_personnel(c, "master_id % 10 = 0", rows_each=900, block=3)) == [r for r in want if r[0] % 10 == 0]
+    plan = shared_personnel(c, rows_each=700)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan
