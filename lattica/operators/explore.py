@@ -28,12 +28,16 @@ EXPANDS = (
 
 
 def expand(parents: DataFrame, children: DataFrame, parent: str, child: str, edges: bool = False, releases: DataFrame | None = None, before_year: int | None = None) -> DataFrame:
-    """(parent, child, release_count) over parent <- release -> child; each release once unless ``edges``."""
+    """(parent, child, release_count) over parent <- release -> child; each release once unless ``edges``.
+
+    An edge made distinct meets another one once, so rows are counted: groups are as many as there are pairs, not releases.
+    """
+    if not edges:
+        parents, children = parents.select("release_id", parent).distinct(), children.select("release_id", child).distinct()
     pairs = parents.join(children, "release_id")
     if before_year is not None:
         pairs = pairs.join(releases.where((F.col("year") > 0) & (F.col("year") <= before_year)).select("release_id"), "release_id", "left_semi")
-    count = F.count("*") if edges else F.count_distinct("release_id")
-    return pairs.groupBy(parent, child).agg(count.alias("release_count"))
+    return pairs.groupBy(parent, child).agg(F.count("*").alias("release_count"))
 
 
 def _register_expand(key: str, parent: str, child: str, edges: bool) -> None:
