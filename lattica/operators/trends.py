@@ -118,7 +118,7 @@ def label_decades(c: Catalog) -> DataFrame:
     SELECT artist_id, other_id, CAST(sum(n) AS BIGINT) AS releases, min(year) AS first_year, max(year) AS last_year, string_agg(CAST(year AS VARCHAR) || ':' || CAST(n AS VARCHAR), '|' ORDER BY year) AS years FROM p GROUP BY 1, 2""")
 def collaborators(c: Catalog) -> DataFrame:
     pairs = c.by.join(c.by.withColumnRenamed("artist_id", "other_id"), "release_id").where("artist_id != other_id").join(c.releases.where("year > 0").select("release_id", "year"), "release_id")
-    years = pairs.groupBy("artist_id", "other_id", "year").agg(F.count("*").alias("n"))
+    years = c.spread(pairs.select("artist_id", "other_id", "year"), "artist_id").groupBy("artist_id", "other_id", "year").agg(F.count("*").alias("n"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct("year", "n"))), lambda x: F.concat_ws(":", x["year"].cast("string"), x["n"].cast("string")))
     return years.groupBy("artist_id", "other_id").agg(F.sum("n").alias("releases"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.array_join(listed, "|").alias("years"))
 

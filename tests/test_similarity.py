@@ -50,3 +50,38 @@ def test_topics_are_reached_once_for_artists_of_the_same(spark):
     assert got == {(100, 200): 1, (100, 300): 2, (200, 100): 2, (200, 300): 1, (300, 100): 2, (300, 200): 1}
     plan = all_signal_candidates(c)._jdf.queryExecution().optimizedPlan().toString()
     assert "rep" in plan
+
+
+@pytest.mark.parametrize("roots", [None, "a % 10 = 0"])
+def test_bridges_are_counted_in_blocks(spark, roots):
+    from lattica.operators.similarity import collaborator_distances
+
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    near = collections.defaultdict(set)
+    by = collections.defaultdict(set)
+    for r in c.by.collect():
+        by[r.release_id].add(r.artist_id)
+    for group in by.values():
+        for a in group:
+            near[a] |= group - {a}
+    n = collections.Counter((a, b) for bridge in near for a in near[bridge] for b in near[bridge] if a != b and b not in near[a])
+    want = {(a, b, k) for (a, b), k in n.items() if roots is None or a % 10 == 0}
+    for each in (1_000_000, 2000):
+        got = collaborator_distances(c, roots, each)
+        assert {(r.a, r.b, r.n) for r in got.where("distance = 2").collect()} == want
+    assert "FlatMapGroupsInPandas" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_spread_by_their_lines(spark):
+    """Where the session has fewer partitions than the lines need, an edge has as many as they need; groups of a pair hold counts, not releases."""
+    from unittest import mock
+
+    from lattica.operators.explore import genre_tree
+
+    with mock.patch("lattica.plans.LINES_EACH", 500):
+        c = Catalog(spark, "/root/testdata/sf0.001")
+        parts = -(-c.lines.count() // 500)
+        assert parts > 4 and c.by.rdd.getNumPartitions() == c.genres.rdd.getNumPartitions() == parts
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    plan = genre_tree(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct release_id" not in plan and "count(distinct" not in plan
