@@ -175,7 +175,9 @@ def interpretations(c: Catalog) -> DataFrame:
     SELECT doc_id, count(*) AS spans, count(*) FILTER (WHERE kind = 'letters') AS letters, count(*) FILTER (WHERE kind = 'numbers') AS numbers, count(*) FILTER (WHERE kind = 'alphanumeric') AS alphanumeric, count(*) FILTER (WHERE kind = 'marks') AS marks, md5(string_agg(CAST(e - n AS BIGINT) || ':' || CAST(e AS BIGINT) || ':' || kind, ',' ORDER BY i)) AS digest FROM k GROUP BY 1""")
 def typed_spans(c: Catalog) -> DataFrame:
     """The typed spans of every text: how many of each kind, and a digest of their places."""
-    rows = c.table("documents").where("text <> ''").select("doc_id", lexical_spans(F.col("text")).alias("s"))
+    # A file of texts is read in few pieces, each much work, so texts are spread by number.
+    texts = c.table("documents").where("text <> ''").select("doc_id", "text").repartition(4 * c.spark.sparkContext.defaultParallelism, "doc_id")
+    rows = texts.select("doc_id", lexical_spans(F.col("text")).alias("s"))
     of = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long").alias(kind)
     line = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["kind"])), ",")
     return rows.select("doc_id", F.size("s").cast("long").alias("spans"), of("letters"), of("numbers"), of("alphanumeric"), of("marks"), F.md5(line).alias("digest"))

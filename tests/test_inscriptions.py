@@ -106,3 +106,10 @@ def test_metrics_join_by_merge(spark):
     df = measured(rows, rows, rows.select("id"))
     assert df.first().correct == 1
     assert "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_typed_spans_are_spread(spark):
+    """One file of texts is one or few tasks else."""
+    from lattica.operators.inscriptions import typed_spans
+
+    assert typed_spans(Catalog(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
