@@ -22,17 +22,20 @@ MOST = 10_000
 TYPES = ("artist", "label", "master", "release")
 
 
-def entities(c: Catalog) -> dict[str, DataFrame]:
-    """Each type's rows (type, id, name, year, country)."""
-    parts = c.table("part").select(F.col("p_partkey").alias("master_id"), F.col("p_name").alias("name"))
-    first = c.masters.join(c.releases.where("year > 0").select("release_id", "year"), "release_id").groupBy("master_id").agg(F.min("year").alias("year"))
+def entities(c: Catalog, only: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Each type's rows (type, id, name, year, country), or those whose names are in ``only`` (name, and what goes along): it meets masters before these meet their releases."""
+    named = lambda df: df if only is None else df.join(only, "name")
+    more = [] if only is None else [k for k in only.columns if k != "name"]
+    parts = named(c.table("part").select(F.col("p_partkey").alias("master_id"), F.col("p_name").alias("name")))
+    of_parts = c.masters if only is None else c.masters.join(parts.select("master_id"), "master_id", "left_semi")
+    first = of_parts.join(c.releases.where("year > 0").select("release_id", "year"), "release_id").groupBy("master_id").agg(F.min("year").alias("year"))
     nation = c.labels.select("label_id", F.col("nation").alias("country"))
     none = F.lit(None).cast("long")
     return {
-        "artist": c.artists.select(F.col("artist_id").alias("id"), "name", none.alias("year"), F.col("nation").alias("country")),
-        "label": c.labels.select(F.col("label_id").alias("id"), "name", none.alias("year"), F.col("nation").alias("country")),
-        "master": parts.join(first, "master_id", "left").select(F.col("master_id").alias("id"), "name", "year", none.alias("country")),
-        "release": c.masters.join(parts, "master_id").join(c.releases, "release_id").join(nation, "label_id", "left").select(F.col("release_id").alias("id"), "name", "year", "country"),
+        "artist": named(c.artists).select(F.col("artist_id").alias("id"), "name", none.alias("year"), F.col("nation").alias("country"), *more),
+        "label": named(c.labels).select(F.col("label_id").alias("id"), "name", none.alias("year"), F.col("nation").alias("country"), *more),
+        "master": parts.join(first, "master_id", "left").select(F.col("master_id").alias("id"), "name", "year", none.alias("country"), *more),
+        "release": c.masters.join(parts, "master_id").join(c.releases, "release_id").join(nation, "label_id", "left").select(F.col("release_id").alias("id"), "name", "year", "country", *more),
     }
 
 

@@ -129,3 +129,12 @@ def test_tokens_are_stemmed_once_each(spark, tmp_path, monkeypatch):
     found = {(r.id, r.term): r.positions for r in ft.postings(docs, ["id"], "text").collect()}
     assert seen[0].count() == 5
     assert found[1, "ring"] == [1, 2, 3] and found[1, "small"] == [4] and found[0, "ring"] == [1] and found[0, "smaller"] == [3]
+
+
+def test_names_are_indexed_once(spark):
+    """The index of names grows with the names, not with the releases that share them."""
+    from lattica.plans import Catalog
+
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    names = c.artists.select("name").union(c.labels.select("name")).union(c.table("part").select("p_name")).distinct()
+    assert ft.name_index(c).select("name").distinct().count() == names.count() < c.masters.count() + names.count()
