@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import top_n
-from ..plans import ORACLES, Catalog, query
+from ..plans import ORACLES, Catalog, OfUsers, query, written
 from .fit import fit
 
 # The most candidates that a comparison takes, and the picks it makes.
@@ -70,9 +70,12 @@ def _crates_sql() -> str:
 @query("b12_crates", _crates_sql())
 def crates(c: Catalog) -> DataFrame:
     """What five additions gain each user in new artists when chosen greedily, by individual fit, or by popularity, all against the collection as it is."""
-    pool = candidates(c)
+    # All that follows is asked of releases that users have or want, so no other line is made an edge.
+    c = OfUsers(c)
+    pool = written(c.spark, candidates(c))
     both = c.collected.select("user_id", "release_id").union(c.wanted.select("user_id", "release_id"))
     popular = both.groupBy("release_id").agg(F.count_distinct("user_id").alias("popularity"))
     valued = pool.join(popular, "release_id", "left").join(fit(c).select("user_id", "release_id", F.col("fit").alias("individual_fit")), ["user_id", "release_id"], "left").fillna(0, ["popularity", "individual_fit"])
+    valued = written(c.spark, valued)
     parts = [greedy(pool).withColumn("policy", F.lit("greedy_coverage")), *(ranked(valued, by).withColumn("policy", F.lit(by)) for by in ("individual_fit", "popularity"))]
     return reduce(DataFrame.unionByName, parts)
