@@ -1,7 +1,7 @@
 """Stored hubs that are brought up to date in part (section 2.8, M14).
 
 A hub's rows follow from its releases with their titles, and from these releases' artists and labels with their numbers of releases, genres and styles. A fingerprint sums
-that up without an order: counts and xor of hashes, from one pass over each kind of edge and no join of pairs. Hubs whose fingerprint is the stored one keep their
+that up without an order: counts and xor of hashes, from the rows that hubs are made of, which are written once for both. Hubs whose fingerprint is the stored one keep their
 partition and its files; others are built anew, and only their partitions are written; those of genres that are gone are removed.
 """
 
@@ -9,29 +9,23 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import Catalog, query, shared_dir
-from .discover import _HUBS, hubs
-from .lookup import titles
+from .discover import _HUBS, HubRows, hub_rows, hubs
 from .temporal import ensure_checkpoints
 
 STORED = "type string, id string, witness string, fingerprint string, hub string"
 
 
-def fingerprints(c: Catalog) -> DataFrame:
+def fingerprints(near: HubRows) -> DataFrame:
     """(hub, fingerprint) of each genre."""
-    sums = lambda df: df.groupBy("release_id").agg(F.bit_xor("x").alias("x"), F.count("*").alias("n"))
-    counted = lambda df, key: df.join(df.groupBy(key).agg(F.count("*").alias("pop")), key).select("release_id", F.xxhash64(F.lit(key), key, "pop").alias("x"))
-    plain = lambda df, key: df.select("release_id", F.xxhash64(F.lit(key), key).alias("x"))
-    parts = [counted(c.by, "artist_id"), counted(c.on, "label_id"), plain(c.genres, "genre"), plain(c.styles, "style"), plain(titles(c), "title")]
-    # Each release is summed up first, so a hub meets one row a release.
-    of_release = sums(reduce(DataFrame.unionByName, parts)).select("release_id", F.xxhash64("release_id", "x", "n").alias("x"))
-    rows = c.genres.select(F.col("genre").alias("hub"), "release_id").join(of_release, "release_id", "left")
-    return rows.groupBy("hub").agg(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor("x").cast("string")).alias("fingerprint"))
+    of_release = F.xxhash64("release_id", "title_hash", *(F.sort_array(k) for k in ("genres", "styles", "artist_ids", "label_ids")))
+    parts = [near.releases.select(F.explode("genres").alias("hub"), of_release.alias("x")), near.pairs.select("hub", F.xxhash64("type", "id", "pop").alias("x"))]
+    sums = [df.groupBy("hub").agg(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor("x").cast("string")).alias(name)) for df, name in zip(parts, ("x", "y"), strict=True)]
+    return sums[0].join(sums[1], "hub", "left").select("hub", F.concat_ws(":", "x", "y").alias("fingerprint"))
 
 
 @dataclass(frozen=True)
@@ -50,14 +44,15 @@ def refresh_hubs(c: Catalog, path: str, limit: int = 100) -> Refresh:
     ensure_checkpoints(c)
     place = c.spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(c.spark._jsc.hadoopConfiguration())
-    now = fingerprints(c).checkpoint()
+    near = hub_rows(c)
+    now = fingerprints(near).checkpoint()
     stored = read_hubs(c, path).select("hub", F.col("fingerprint").alias("was")).distinct() if files.exists(place) else c.spark.createDataFrame([], "hub string, was string")
     both = now.join(stored, "hub", "full_outer").checkpoint()
     changed = both.where("fingerprint is not null and (was is null or was <> fingerprint)").select("hub", "fingerprint")
     rebuilt = sorted(r["hub"] for r in changed.select("hub").collect())
     removed = sorted(r["hub"] for r in both.where("fingerprint is null").select("hub").collect())
     if rebuilt:
-        fresh = hubs(c, limit, changed).join(changed, "hub").select("type", "id", "witness", "fingerprint", "hub")
+        fresh = hubs(c, limit, changed, near).join(changed, "hub").select("type", "id", "witness", "fingerprint", "hub")
         fresh.repartition("hub").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hub").parquet(path)
     # Spark names a partition's folder, so a file of it is asked for.
     gone = read_hubs(c, path).where(F.col("hub").isin(removed)).select(F.regexp_replace(F.input_file_name(), "/[^/]*$", "").alias("folder")).distinct().collect() if removed else []
