@@ -4,41 +4,44 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import top_n
 from ..plans import ORACLES, Catalog, OfUsers, query, written
 from .fit import fit
 
-# The most candidates that a comparison takes, and the picks it makes.
-CANDIDATES = 200
+# Fixed value: the picks that a comparison makes.
 PICKS = 5
 
 
-def candidates(c: Catalog, limit: int = CANDIDATES) -> DataFrame:
+def candidates(c: Catalog) -> DataFrame:
     """(user_id, master_id, release_id, units): wanted masters of which the user has no release, each by its first wanted release, with the artists it would add."""
     held = c.collected.select("user_id", "release_id").distinct()
     known = held.join(c.by, "release_id").select("user_id", "artist_id").distinct()
     want = c.wanted.select("user_id", "release_id").distinct().join(c.masters, "release_id").join(held.join(c.masters, "release_id"), ["user_id", "master_id"], "left_anti")
-    pool = top_n(want.groupBy("user_id", "master_id").agg(F.min("release_id").alias("release_id")), ["user_id"], ["master_id"], limit)
+    pool = want.groupBy("user_id", "master_id").agg(F.min("release_id").alias("release_id"))
     fresh = pool.join(c.by, "release_id").join(known, ["user_id", "artist_id"], "left_anti").groupBy("user_id", "master_id").agg(F.sort_array(F.collect_set("artist_id")).alias("units"))
     return pool.join(fresh, ["user_id", "master_id"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<bigint>")))
 
 
 def greedy(pool: DataFrame, picks: int = PICKS) -> DataFrame:
-    """(user_id, picks, gained): again and again the candidate that adds most artists, the least master among equals, until none adds any."""
-    rows = pool.groupBy("user_id").agg(F.collect_list(F.struct("master_id", "units")).alias("pool"))
-    none = F.array().cast("array<bigint>")
-
-    def step(state, _):
-        gains = F.transform("pool", lambda x: F.struct(F.size(F.array_except(x["units"], state["covered"])).alias("gain"), (-x["master_id"]).alias("key"), x["units"].alias("units")))
-        best = F.array_max(gains)
-        grown = F.struct(F.array_append(state["picked"], -best["key"]).alias("picked"), F.array_union(state["covered"], best["units"]).alias("covered"))
-        return F.when(best["gain"] > 0, grown).otherwise(state)
-
-    rows = rows.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.lit(picks)), F.struct(none.alias("picked"), none.alias("covered")), step))
-    return rows.select("user_id", F.array_join(F.transform("end.picked", lambda m: m.cast("string")), "|").alias("picks"), F.size("end.covered").cast("long").alias("gained"))
+    """(user_id, picks, gained): again and again the candidate that adds most artists, the least master among equals, until none adds any.
+
+    A row is an artist of a candidate, and windows of a user find each pick, so no list of candidates is held however many there are.
+    """
+    rows = pool.select("user_id", "master_id", F.explode_outer("units").alias("unit")).repartition("user_id").withColumn("open", F.col("unit").isNotNull())
+    of = lambda *keys: Window.partitionBy("user_id", *keys)
+    for k in range(1, picks + 1):
+        rows = rows.withColumn("gain", F.count_if("open").over(of("master_id")))
+        rows = rows.withColumn("best", F.max(F.struct("gain", (-F.col("master_id")).alias("key"))).over(of()))
+        rows = rows.withColumn(f"pick{k}", F.when(F.col("best.gain") > 0, -F.col("best.key")))
+        taken = (F.col("best.gain") > 0) & F.col("master_id").eqNullSafe(F.col(f"pick{k}"))
+        rows = rows.withColumn("open", F.col("open") & ~F.bool_or(taken).over(of("unit"))).drop("gain", "best")
+    names = [f"pick{k}" for k in range(1, picks + 1)]
+    picked = F.concat_ws("|", *(F.max(k).cast("string") for k in names))
+    gained = F.count_distinct(F.when(~F.col("open"), F.col("unit")))
+    return rows.groupBy("user_id").agg(picked.alias("picks"), gained.alias("gained"))
 
 
 def ranked(pool: DataFrame, by: str, picks: int = PICKS) -> DataFrame:
@@ -52,7 +55,7 @@ def _crates_sql() -> str:
     """Greedy picks, unrolled."""
     out = [f"""WITH held AS (SELECT DISTINCT user_id, release_id FROM collected), hm AS (SELECT DISTINCT user_id, master_id FROM held JOIN masters USING (release_id)), mine AS (SELECT DISTINCT user_id, artist_id FROM held JOIN by_ USING (release_id)),
     w AS (SELECT user_id, master_id, min(release_id) AS release_id FROM wanted JOIN masters m USING (release_id) WHERE NOT EXISTS (SELECT 1 FROM hm WHERE hm.user_id = wanted.user_id AND hm.master_id = m.master_id) GROUP BY 1, 2),
-    pool AS (SELECT user_id, master_id, release_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY master_id) AS rn FROM w) WHERE rn <= {CANDIDATES}),
+    pool AS (SELECT user_id, master_id, release_id FROM w),
     u AS MATERIALIZED (SELECT p.user_id, p.master_id, p.release_id, coalesce(list(b.artist_id) FILTER (WHERE m.artist_id IS NULL), []) AS units FROM pool p JOIN by_ b USING (release_id) LEFT JOIN mine m ON m.user_id = p.user_id AND m.artist_id = b.artist_id GROUP BY 1, 2, 3),
     s0 AS (SELECT DISTINCT user_id, CAST([] AS BIGINT[]) AS picked, CAST([] AS BIGINT[]) AS covered FROM u)"""]
     for d in range(1, PICKS + 1):
