@@ -85,3 +85,33 @@ def test_edges_are_spread_by_their_lines(spark):
     c = Catalog(spark, "/root/testdata/sf0.001")
     plan = genre_tree(c)._jdf.queryExecution().optimizedPlan().toString()
     assert "distinct release_id" not in plan and "count(distinct" not in plan
+
+
+def test_pairs_at_distance_two_are_counted_once_and_told_apart_in_place(spark):
+    """Pairs in common are left out where they are counted, in any number of blocks, and no pair at distance two is shuffled."""
+    from lattica.operators.similarity import collaborator_distances, in_common
+
+    rng = random.Random(3)
+    by = sorted({(r, rng.randrange(60)) for r in range(70) for _ in range(3)})
+    near = collections.defaultdict(collections.Counter)
+    for r, a in by:
+        for s, b in by:
+            if r == s and a != b:
+                near[a][b] += 1
+    want = {(a, b, 1, n) for a in near for b, n in near[a].items()}
+    want |= {(a, b, 2, len(set(near[a]) & set(near[b]))) for a in near for b in near if a != b and b not in near[a] and set(near[a]) & set(near[b])}
+
+    class Chosen:
+        def __init__(self):
+            self.spark, self.by = spark, spark.createDataFrame(by, "release_id bigint, artist_id bigint")
+
+    for rows_each in (1_000_000, 40):
+        got = collaborator_distances(Chosen(), rows_each=rows_each)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        asked = collaborator_distances(Chosen(), "a % 10 = 0", rows_each=rows_each)
+        assert sorted(map(tuple, asked.collect())) == sorted(x for x in want if x[0] % 10 == 0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InPandas") == 1 and "LeftAnti" not in plan
+    rows = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id bigint, key bigint")
+    kept = in_common(rows, ["key"], rows.select("id"), 2, but=spark.createDataFrame([(1, 3), (7, 8)], "a bigint, b bigint"))
+    assert sorted(map(tuple, kept.collect())) == [(1, 2, 1), (2, 3, 1)]
