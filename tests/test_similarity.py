@@ -115,3 +115,21 @@ def test_pairs_at_distance_two_are_counted_once_and_told_apart_in_place(spark):
     rows = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "id bigint, key bigint")
     kept = in_common(rows, ["key"], rows.select("id"), 2, but=spark.createDataFrame([(1, 3), (7, 8)], "a bigint, b bigint"))
     assert sorted(map(tuple, kept.collect())) == [(1, 2, 1), (2, 3, 1)]
+
+
+def test_edges_are_gathered_once_for_similar_artists(spark, tmp_path):
+    """What stays unknown is counted as such, a line without its part has no genre, and no edge is read again once it is gathered."""
+    from lattica.operators.similarity import profiles, similar_artists
+
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 2, 12), (2, 1, 99), (2, None, 10), (None, 1, 10)], "l_orderkey bigint, l_suppkey bigint, l_partkey bigint").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(10, "g", "s"), (11, "g", None), (12, "h", "s")], "p_partkey bigint, p_type string, p_brand string").write.parquet(f"{d}/part.parquet")
+    spark.sql("SELECT * FROM VALUES (1L, 7L), (1L, 7L), (2L, null), (3L, 8L) AS t(o_orderkey, o_custkey)").selectExpr("*", "timestamp'2000-01-01' AS o_orderdate", "'1' AS o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    got = {(r.artist_id, r.dim, r.name): r.n for r in profiles(Catalog(spark, d)).collect()}
+    genres = {(1, "g"): 2, (1, "h"): 1, (2, "g"): 1, (2, "h"): 1, (None, "g"): 1}
+    styles = {(1, "s"): 2, (1, None): 1, (2, "s"): 1, (2, None): 1, (None, "s"): 1}
+    labels = {(1, "7"): 2, (2, "7"): 2, (1, None): 1, (None, None): 1}
+    want = {(a, dim, x): n for dim, rows in (("genre", genres), ("style", styles), ("label", labels), ("collaborator", {(1, "2"): 1, (2, "1"): 1})) for (a, x), n in rows.items()}
+    assert got == want
+    plan = similar_artists(Catalog(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan
