@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import decade, names, top_n
-from ..plans import ORACLES, Catalog, query
+from ..plans import ORACLES, Catalog, OfUsers, query
 from .collecting import _LATEST, _LISTS, label_lists, linked
 from .discover import _HEUR
 from .fit import fit
@@ -313,7 +313,8 @@ def guarded_lists(c: Catalog, least: int = 3) -> DataFrame:
 @query("z7_release_fits", f"""SELECT f.user_id, f.release_id, f.fit, r.tier, r.score FROM ({ORACLES["c14_fit"]}) f LEFT JOIN ({_SCORED} SELECT release_id, tier, score FROM rated) r USING (release_id)""")
 def release_fits(c: Catalog) -> DataFrame:
     """The fit of each wanted release beside its rarity, which is scored for the wanted ones."""
-    return fit(c).join(rarity_scores(c).select("release_id", "tier", "score"), "release_id", "left").select("user_id", "release_id", "fit", "tier", "score")
+    # A fit is asked of releases that users have or want, so no other line is made an edge for it.
+    return fit(OfUsers(c)).join(rarity_scores(c).select("release_id", "tier", "score"), "release_id", "left").select("user_id", "release_id", "fit", "tier", "score")
 
 
 @query("v8_baseline_replay", f"""SELECT 'popular' AS policy, count(*) AS users, CAST(sum(held_out) AS BIGINT) AS held_out, CAST(sum(hits) AS BIGINT) AS hits FROM ({ORACLES["v2_precision_recall"]})

@@ -104,3 +104,14 @@ def test_greedy_crates(spark):
     # 10 adds three; then 12 adds two and 11 one; after that nothing adds any.
     assert sorted(tuple(r) for r in greedy(pool, 5).collect()) == [(1, "10|12", 5), (2, "", 0)]
     assert sorted(tuple(r) for r in ranked(pool, "n", 2).collect()) == [(1, "10|11", 4), (2, "10", 0)]
+
+
+def test_fits_read_lines_of_users_releases(spark):
+    """Beside the lines that rarity reads, only those of releases that users have or want."""
+    from lattica.operators.folds import release_fits
+    from lattica.operators.rarity import rarity_scores
+    from lattica.plans import Catalog
+
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("l_shipdate")
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    assert scans(release_fits(c)) == scans(rarity_scores(c)) > 0
